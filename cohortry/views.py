@@ -184,37 +184,46 @@ FACTS = f"""facts as (
   from part)"""
 
 
+REMOVABLE = ["ring", "widget", "bolt", "gear"]
+
+
+def _short_name():
+    return F.concat_ws(" ", "p_size", "p_brand")
+
+
+def _full_name():
+    return F.concat_ws(" ", "p_size", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(2)))
+
+
+PART_NAMES = """part_names as (select *, p_size||' '||p_brand as short_name,
+  p_size||' '||p_brand||' '||split_part(p_name, ' ', 2) as full_name from part)"""
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part names to resolve."""
-    return table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    """Distinct names to resolve: size, brand and a last word that may be removable."""
+    return table(spark, sf_dir, "part").select(_full_name().alias("name")).distinct()
 
 
-NAMES = "names as (select distinct p_name as name from part)"
+NAMES = "names as (select distinct full_name as name from part_names)"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reference entries: titles of one or two words, thinned so that names have 0, 1 or many."""
-    part = table(spark, sf_dir, "part")
-    return (
-        part.withColumn("roll", stable_hash(53, "p_partkey") % 40)
-        .where("roll < 6")
-        .select(
-            F.when(F.col("roll") < 2, F.col("p_name"))
-            .otherwise(F.substring_index("p_name", " ", 1))
-            .alias("query_name"),
-            F.when(F.col("roll") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_type")).alias("title"),
-            F.col("p_partkey").alias("candidate_id"),
-            F.col("p_brand").alias("payload"),
-        )
+    """Reference entries: one type is listed under full names, the others under short ones."""
+    query_name = F.when(F.col("p_type") == "ECONOMY", _full_name()).otherwise(_short_name())
+    return table(spark, sf_dir, "part").select(
+        query_name.alias("query_name"),
+        F.when(F.col("p_size") % 2 == 0, F.upper(query_name)).otherwise(F.col("p_type")).alias("title"),
+        F.col("p_partkey").alias("candidate_id"),
+        F.col("p_brand").alias("payload"),
     )
 
 
-CANDIDATES = f"""rolled as (select *, {_roll(53, 40)} as roll from part),
+CANDIDATES = """listed as (
+  select *, case when p_type = 'ECONOMY' then full_name else short_name end as query_name from part_names),
 candidates as (
-  select case when roll < 2 then p_name else split_part(p_name, ' ', 1) end as query_name,
-    case when roll % 2 = 0 then upper(p_name) else p_type end as title,
+  select query_name, case when p_size % 2 = 0 then upper(query_name) else p_type end as title,
     p_partkey as candidate_id, p_brand as payload
-  from rolled where roll < 6)"""
+  from listed)"""
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +242,8 @@ TOKENS = f"""tokens as (
 
 
 def kept_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integer ids with holes: two thirds of the event ids."""
-    return (
-        table(spark, sf_dir, "events")
-        .select(F.col("event_id").alias("value"))
-        .where(stable_hash(67, "value") % 3 != 0)
-    )
+    """Integer ids with natural holes: orders that have line items."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("value"))
 
 
-KEPT_IDS = f"kept_ids as (select event_id as value from events where {h('67', 'event_id')} % 3 <> 0)"
+KEPT_IDS = "kept_ids as (select l_orderkey as value from lineitem)"
