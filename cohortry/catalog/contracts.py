@@ -203,13 +203,6 @@ def j11(spark, d):
     ).withColumn("rows", F.col("rows").cast("bigint"))
 
 
-def r7(spark, d):
-    return views.predictions(spark, d).groupBy("model").agg(
-        F.sum("convergence_warnings").alias("warning_count"),
-        F.count_if(F.col("convergence_warnings") > 0).alias("rows_with_warnings"),
-    )
-
-
 def a4(spark, d):
     return rounded(views.predictions(spark, d).groupBy("model", "id").agg(F.avg("probability").alias("probability")))
 
@@ -329,7 +322,4 @@ ENTRIES = {
              "n as (select g.model, g.repeat, g.outer_fold, count(d.model) as rows from grid g left join doubled d "
              "using (model, repeat, outer_fold) group by all) "
              "select *, case when rows = 0 then 'missing' else 'repeated' end as problem from n where rows <> 1"),
-    "r7_convergence": (
-        r7, f"with {views.PREDICTIONS} select model, sum(convergence_warnings)::bigint as warning_count, "
-            "count_if(convergence_warnings > 0)::bigint as rows_with_warnings from predictions group by model"),
 }

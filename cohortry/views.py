@@ -125,7 +125,7 @@ VECTORS = """vectors as (
     vec_id % 40 as group_id
   from embeddings)"""
 
-BIT_CUT = 0.15
+BIT_CUT = 0.1
 
 
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
