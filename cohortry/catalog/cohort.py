@@ -44,13 +44,18 @@ def src3(spark, d):
 def tuning(spark, d):
     fits = views.predictions(spark, d).select("model", "repeat", "outer_fold", "selected_c").distinct()
 
-    def one(c: float):
-        roll = stable_hash(79, "model", "repeat", "outer_fold", F.lit(str(c))) % 1000
-        return F.struct(
-            F.lit(c).alias("c"), (roll / F.lit(1000.0)).alias("inner_auroc"), F.lit(0).alias("convergence_warnings")
-        )
+    roll = stable_hash(79, "model", "repeat", "outer_fold", "label") % 1000
+    grid = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(str(c)).alias("label")) for c in views.C_GRID]))
+    return fits.select("*", grid.alias("g")).select("*", "g.*").withColumns(
+        {"inner_auroc": roll / F.lit(1000.0), "convergence_warnings": F.lit(0)}
+    ).drop("g", "label")
 
-    return fits.withColumn("candidates", F.array(*[one(c) for c in views.C_GRID]))
+
+def tuning_log(spark, d):
+    """The same fits as one nested record each."""
+    keys = ["model", "repeat", "outer_fold", "selected_c"]
+    candidate = F.struct("c", "inner_auroc", "convergence_warnings")
+    return tuning(spark, d).groupBy(*keys).agg(F.collect_list(candidate).alias("candidates"))
 
 
 TUNING = views.PREDICTIONS + f""", candidates as (
@@ -61,7 +66,7 @@ TUNING = views.PREDICTIONS + f""", candidates as (
 
 def src4(spark, d):
     path = sinks.scratch_path(spark, "tuning-json")
-    tuning(spark, d).write.json(path)
+    tuning_log(spark, d).write.json(path)
     return readers.read_tuning_log(spark, path)
 
 

@@ -17,7 +17,7 @@ MAX_TOKENS = 2100
 
 def token_rows(spark, d):
     """Long token table: one small vector per position, masked where the word is unknown."""
-    rows = views.tokens(spark, d).select("id", F.posexplode("token_ids").alias("position", "token"))
+    rows = views.token_rows(spark, d)
     vec = F.array(*[(F.col("token") * k % 1000 - 500) / F.lit(1000.0) for k in (7, 11, 13, 17)])
     return rows.withColumns({"mask": (F.col("token") != 0).cast("int"), "vec": vec})
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.scores import clipped_logit
 from cohortry.operators.prefix import CELL, running_sums, score_splits, with_score_cells
 from cohortry.operators.skew import broadcast_checked, is_small, join_on
+from cohortry.session import cut_lineage
 
 BUNDLE = [
     "auroc",
@@ -66,6 +67,11 @@ def auroc_of_collapsed(collapsed: DataFrame, keys: list[str], score: str) -> Dat
             F.sum("neg").alias("neg"),
         )
     )
+    return auroc_of_cells(per_cell, keys)
+
+
+def auroc_of_cells(per_cell: DataFrame, keys: list[str]) -> DataFrame:
+    """AUROC per keys from one row per cell: ``twice_area`` inside it, ``pos`` and ``neg``."""
     cells = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     placed = per_cell.withColumn("neg_before", F.coalesce(F.sum("neg").over(cells), F.lit(0)))
     area = F.sum(F.col("twice_area") + 2.0 * F.col("pos") * F.col("neg_before"))
@@ -116,7 +122,10 @@ def ranking_metrics(
     df: DataFrame, keys: list[str], y: str, score: str, splits: list[float] | None = None
 ) -> DataFrame:
     """AUROC and average precision from one ordered pass."""
-    counts = threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score)
+    return _ranking(threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score), keys)
+
+
+def _ranking(counts: DataFrame, keys: list[str]) -> DataFrame:
     gained = F.col("pos") * _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     area = F.sum(F.col("neg").cast("double") * (2 * F.col("tp") - F.col("pos")))
     return counts.groupBy(*keys).agg(
@@ -135,6 +144,10 @@ def confusion_exprs(y: str, predicted: Column) -> dict[str, Column]:
     fp = F.count_if(predicted & (F.col(y) == 0))
     fn = F.count_if(~predicted & (F.col(y) == 1))
     tn = F.count_if(~predicted & (F.col(y) == 0))
+    return _rates(tp, fp, fn, tn)
+
+
+def _rates(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     sensitivity = _ratio(tp, tp + fn)
     specificity = _ratio(tn, tn + fp)
     return {
@@ -158,16 +171,29 @@ def confusion_rates(df: DataFrame, keys: list[str], y: str, score: str, threshol
 def calibration_fit(
     df: DataFrame, keys: list[str], y: str, score: str, c: float = 1e6, steps: int = 8
 ) -> DataFrame:
-    """Intercept and slope of the outcome on the clipped logit, by Newton steps.
+    """Intercept and slope of the outcome on the clipped logit, by Newton steps."""
+    if not keys:
+        return calibration_fit(df.withColumn("_all", F.lit(0)), ["_all"], y, score, c, steps).drop("_all")
+    counts = df.groupBy(*keys, score).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    )
+    return calibration_of_counts(cut_lineage(counts), keys, score, c, steps)
+
+
+def calibration_of_counts(
+    counts: DataFrame, keys: list[str], score: str, c: float = 1e6, steps: int = 8
+) -> DataFrame:
+    """The calibration line from outcome counts per score.
 
     The slope carries the penalty slope^2 / (2c). Each step is one grouped aggregate
     of five sums for all keys at once; only one row per key moves between steps. A
     step starts from the identity line, where a sound model already is.
     """
-    if not keys:
-        return calibration_fit(df.withColumn("_all", F.lit(0)), ["_all"], y, score, c, steps).drop("_all")
-    base = df.select(*keys, F.col(y).cast("double").alias("_y"), clipped_logit(F.col(score)).alias("_x"))
-    few = is_small(df.select(*keys).distinct())
+    base = counts.select(
+        *keys, F.col("pos").cast("double").alias("_y"), (F.col("pos") + F.col("neg")).cast("double").alias("_n"),
+        clipped_logit(F.col(score)).alias("_x"),
+    )
+    few = is_small(base.select(*keys).distinct())
     current = None
     for _ in range(steps):
         if current is None:
@@ -175,7 +201,11 @@ def calibration_fit(
         else:
             rows = join_on(base, F.broadcast(current) if few else current, keys)
         fitted = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
-        rows = rows.select(*keys, "_x", "_a", "_b", (fitted - F.col("_y")).alias("_e"), (fitted * (1.0 - fitted)).alias("_v"))
+        rows = rows.withColumn("_p", fitted).select(
+            *keys, "_x", "_a", "_b",
+            (F.col("_n") * F.col("_p") - F.col("_y")).alias("_e"),
+            (F.col("_n") * F.col("_p") * (1.0 - F.col("_p"))).alias("_v"),
+        )
         sums = rows.groupBy(*keys).agg(
             F.first("_a").alias("_a"),
             F.first("_b").alias("_b"),
@@ -197,13 +227,33 @@ def calibration_fit(
 
 
 def evaluate(df: DataFrame, keys: list[str], y: str, score: str, threshold: str) -> DataFrame:
-    """All nine metrics per keys."""
-    ranked = ranking_metrics(df, keys, y, score)
-    rates = confusion_exprs(y, F.col(score) >= F.col(threshold))
-    plain = df.groupBy(*keys).agg(
-        brier_expr(y, score).alias("brier"), *[value.alias(name) for name, value in rates.items()]
+    """All nine metrics per keys.
+
+    The rows are read once, into a narrow table of outcome counts per (keys, score,
+    threshold) that every metric then starts from.
+    """
+    if not keys:
+        return evaluate(df.withColumn("_all", F.lit(0)), ["_all"], y, score, threshold).drop("_all")
+    rows = df.withColumn(score, F.col(score).cast("double") + F.lit(0.0))
+    counts = cut_lineage(
+        rows.groupBy(*keys, score, threshold).agg(
+            F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+        )
+    )
+    per_score = counts.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    celled = with_score_cells(per_score, score, score_splits(counts, score))
+    ranked = _ranking(threshold_counts(celled, keys, score), keys)
+    called = F.col(score) >= F.col(threshold)
+    tp, fp = (F.sum(F.when(called, F.col(n)).otherwise(0)) for n in ("pos", "neg"))
+    fn, tn = (F.sum(F.when(called, 0).otherwise(F.col(n))) for n in ("pos", "neg"))
+    squared = F.sum(
+        F.col("pos") * F.pow(F.col(score) - 1.0, F.lit(2)) + F.col("neg") * F.pow(F.col(score), F.lit(2))
+    )
+    plain = counts.groupBy(*keys).agg(
+        (squared / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+        *[value.alias(name) for name, value in _rates(tp, fp, fn, tn).items()],
     )
-    calibrated = calibration_fit(df, keys, y, score)
+    calibrated = calibration_of_counts(per_score, keys, score)
     return join_on(join_on(ranked, plain, keys), calibrated, keys).select(*keys, *BUNDLE)
 
 

@@ -37,7 +37,15 @@ def score_splits(df: DataFrame, column: str, cells: int | None = None) -> list[f
     found = df.agg(
         F.percentile_approx(F.col(column).cast("double"), steps, 10 * cells).alias("q")
     ).first()["q"]
-    return sorted({float(q) + 0.0 for q in found or [] if q is not None and math.isfinite(q)})
+    borders = sorted(float(q) + 0.0 for q in found or [] if q is not None and math.isfinite(q))
+    # a border found twice is a value with a cell's worth of rows: it gets a cell to itself
+    heavy = {low for low, high in zip(borders, borders[1:]) if low == high}
+    return sorted({*borders, *(math.nextafter(v, math.inf) for v in heavy)})
+
+
+def single_value_cells(splits: list[float]) -> list[int]:
+    """Cells that hold exactly one value, as ``score_splits`` makes for heavy values."""
+    return [i + 1 for i, (low, high) in enumerate(zip(splits, splits[1:])) if math.nextafter(low, math.inf) == high]
 
 
 def with_score_cells(df: DataFrame, column: str, splits: list[float], cell: str = CELL) -> DataFrame:

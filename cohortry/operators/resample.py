@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_cell, stable_hash
-from cohortry.operators.metrics import auroc_of_collapsed, collapse_scores
-from cohortry.operators.prefix import CELL, default_cells, numbered
+from cohortry.operators.metrics import auroc_of_cells, collapse_scores
+from cohortry.operators.prefix import CELL, default_cells, numbered, score_splits, single_value_cells
 from cohortry.operators.skew import join_on, salted_join
 
+DRAW_BLOCK = 250
+CHUNK_ROWS = 2048
+
 
 def numbered_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
     """Each group once, with ``group_no`` from 0 in seeded hash order."""
@@ -20,51 +25,108 @@ def numbered_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
     )
 
 
-def group_draws(df: DataFrame, group: str, resamples: int, seed: int) -> DataFrame:
-    """Multiplicity of each drawn group: (resample, group, times).
+def _draws(df: DataFrame, group: str, resamples: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Single draws (resample, group_no) and the numbered groups.
 
     Every resample makes as many draws as there are groups. A draw is a hash of
     (seed, resample, draw number), so it can be recomputed anywhere.
     """
     groups = numbered_groups(df, group, seed)
-    size = df.select(group).distinct().count()
-    if size == 0:
-        return groups.select(F.lit(0).cast("bigint").alias("resample"), group, F.lit(0).cast("bigint").alias("times"))
+    size = max(1, df.select(group).distinct().count())
     draws = df.sparkSession.range(resamples * size).select(
         F.floor(F.col("id") / size).cast("bigint").alias("resample"), (F.col("id") % size).alias("draw")
     )
-    counts = (
-        draws.withColumn("group_no", stable_hash(seed, "resample", "draw") % size)
-        .repartition("group_no")
-        .groupBy("group_no", "resample")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    return draws.select("resample", (stable_hash(seed, "resample", "draw") % size).alias("group_no")), groups
+
+
+def group_draws(df: DataFrame, group: str, resamples: int, seed: int) -> DataFrame:
+    """Multiplicity of each drawn group: (resample, group, times)."""
+    draws, groups = _draws(df, group, resamples, seed)
+    counts = draws.repartition("group_no").groupBy("group_no", "resample").agg(F.count(F.lit(1)).alias("times"))
     return join_on(counts, groups, ["group_no"]).select("resample", group, "times")
 
 
+def _cell_areas(cell: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Weighted areas of one cell for every resample of a block.
+
+    Rows are taken in score order, a bounded number at a time; equal scores are merged
+    before pairs are counted.
+    """
+    lists, pos, neg, score = (cell[name].to_numpy() for name in ("draws", "pos", "neg", "_score"))
+    first = int(cell["block"].iloc[0]) * DRAW_BLOCK
+    width = max(int(d.max()) for d in lists) - first + 1
+    order = np.argsort(score, kind="stable")
+    upto, area = np.zeros(width, np.int64), np.zeros(width)
+    positives = np.zeros(width, np.int64)
+    tie, tie_pos, tie_neg = None, np.zeros(width, np.int64), np.zeros(width, np.int64)
+    for start in range(0, len(order), CHUNK_ROWS):
+        rows = order[start:start + CHUNK_ROWS]
+        sizes = np.array([len(d) for d in lists[rows]])
+        flat = np.repeat(np.arange(len(rows)), sizes) * width + np.concatenate(lists[rows]) - first
+        times = np.bincount(flat, minlength=len(rows) * width).reshape(len(rows), width)
+        values = score[rows]
+        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        run_pos = np.add.reduceat(times * pos[rows, None], starts, axis=0)
+        run_neg = np.add.reduceat(times * neg[rows, None], starts, axis=0)
+        if tie is not None and values[0] == tie:
+            run_pos[0] += tie_pos
+            run_neg[0] += tie_neg
+        elif tie is not None:
+            run_pos, run_neg = np.vstack([tie_pos, run_pos]), np.vstack([tie_neg, run_neg])
+        # the last score may go on in the next chunk
+        tie, tie_pos, tie_neg = values[-1], run_pos[-1].copy(), run_neg[-1].copy()
+        done_pos, done_neg = run_pos[:-1], run_neg[:-1]
+        before = upto + np.cumsum(done_neg, axis=0)
+        area += (done_pos.astype(float) * (2 * before - done_neg)).sum(axis=0)
+        positives += done_pos.sum(axis=0)
+        upto += done_neg.sum(axis=0)
+    upto += tie_neg
+    area += tie_pos.astype(float) * (2 * upto - tie_neg)
+    positives += tie_pos
+    result = pd.DataFrame({"resample": first + np.arange(width), "twice_area": area, "pos": positives, "neg": upto})
+    for key in [*keys, CELL]:
+        result[key] = cell[key].iloc[0]
+    return result[(result["pos"] > 0) | (result["neg"] > 0)]
+
+
 def resampled_auroc(
     df: DataFrame, group: str, keys: list[str], y: str, score: str, resamples: int, seed: int
 ) -> DataFrame:
     """AUROC per (resample, keys) under the group draws.
 
-    Rows are collapsed to (group, keys, score) counts; each group brings the list of
-    its draws, at most ``resamples`` long. A group that holds much of the data is
-    split over many tasks by score before the draws are unfolded, and weights are
-    summed map-side.
+    Rows are collapsed to (group, keys, score) counts and each meets the list of its
+    group's draws, in blocks of resamples; a group that holds much of the data is split
+    over many tasks for that. No row is copied per resample. Within a cell of scores the
+    weights of all resamples are summed as arrays; cells hold about equal row counts, and
+    a score with very many rows has its own cell, where only sums are needed and are taken
+    by a plain aggregate. What crosses cells is one small row per cell and resample.
     """
-    collapsed = collapse_scores(df, [group, *keys], y, score)
-    lists = (
-        group_draws(df, group, resamples, seed)
-        .groupBy(group)
-        .agg(F.collect_list(F.struct("resample", "times")).alias("draws"))
-    )
-    unfolded = salted_join(collapsed, lists, [group], F.col(score)).select(
-        *keys, CELL, score, "pos", "neg", F.inline("draws")
+    splits = score_splits(df, score)
+    collapsed = collapse_scores(df, [group, *keys], y, score, None, splits)
+    draws, groups = _draws(df, group, resamples, seed)
+    block = F.floor(F.col("resample") / DRAW_BLOCK).cast("int").alias("block")
+    lists = join_on(
+        draws.groupBy("group_no", block).agg(F.collect_list("resample").alias("draws")), groups, ["group_no"]
+    ).drop("group_no")
+    drawn = salted_join(collapsed, lists, [group], F.col(score)).select(
+        *keys, CELL, "block", F.col(score).alias("_score"), "pos", "neg", "draws"
     )
-    weighted = unfolded.groupBy("resample", *keys, CELL, score).agg(
-        F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg")
+    kinds = {f.name: f.dataType.simpleString() for f in drawn.schema}
+    schema = "resample bigint, twice_area double, pos bigint, neg bigint, " + ", ".join(
+        f"`{k}` {kinds[k]}" for k in [*keys, CELL]
     )
-    return auroc_of_collapsed(weighted, ["resample", *keys], score)
+    alone = single_value_cells(splits)
+    ordered = drawn.where(~F.col(CELL).isin(alone)) if alone else drawn
+    areas = ordered.groupBy(*keys, CELL, "block").applyInPandas(lambda cell: _cell_areas(cell, keys), schema)
+    if alone:
+        tied = (
+            drawn.where(F.col(CELL).isin(alone))
+            .select(*keys, CELL, "pos", "neg", F.explode("draws").alias("resample"))
+            .groupBy("resample", *keys, CELL)
+            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        )
+        areas = areas.unionByName(tied.withColumn("twice_area", F.col("pos").cast("double") * F.col("neg")))
+    return auroc_of_cells(areas, ["resample", *keys])
 
 
 def cluster_bootstrap(

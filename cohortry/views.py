@@ -229,14 +229,26 @@ candidates as (
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids per document: hashed words, 0 standing for an unknown word."""
     words = F.split(F.trim(F.col("text")), " ")
-    token = lambda w: F.when(stable_hash(59, w) % 50 == 0, 0).otherwise(stable_hash(61, w) % 30000 + 1)
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.transform(words, token).alias("token_ids")
+        F.col("doc_id").alias("id"), F.transform(words, token_of).alias("token_ids")
     )
 
 
+def token_of(word):
+    """Token id of a word; about one word in fifty is unknown."""
+    hashed = stable_hash(59, word)
+    return F.when(hashed % 50 == 0, 0).otherwise(hashed % 30000 + 1)
+
+
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tokens in rows (id, position, token)."""
+    words = F.split(F.trim(F.col("text")), " ")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(words).alias("position", "word"))
+    return rows.select("id", "position", token_of(F.col("word")).alias("token"))
+
+
 TOKENS = f"""tokens as (
-  select doc_id as id, [case when {h('59', 'w')} % 50 = 0 then 0 else {h('61', 'w')} % 30000 + 1 end
+  select doc_id as id, [case when {h('59', 'w')} % 50 = 0 then 0 else {h('59', 'w')} % 30000 + 1 end
     for w in string_split(trim(text, ' '), ' ')] as token_ids
   from documents)"""
 
