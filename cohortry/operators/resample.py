@@ -46,21 +46,21 @@ def group_draws(df: DataFrame, group: str, resamples: int, seed: int) -> DataFra
     return join_on(counts, groups, ["group_no"]).select("resample", group, "times")
 
 
-def _cell_areas(cell: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+def _cell_areas(cell: pd.DataFrame, keys: list[str], draw_block: int, chunk_rows: int) -> pd.DataFrame:
     """Weighted areas of one cell for every resample of a block.
 
     Rows are taken in score order, a bounded number at a time; equal scores are merged
     before pairs are counted.
     """
     lists, pos, neg, score = (cell[name].to_numpy() for name in ("draws", "pos", "neg", "_score"))
-    first = int(cell["block"].iloc[0]) * DRAW_BLOCK
+    first = int(cell["block"].iloc[0]) * draw_block
     width = max(int(d.max()) for d in lists) - first + 1
     order = np.argsort(score, kind="stable")
     upto, area = np.zeros(width, np.int64), np.zeros(width)
     positives = np.zeros(width, np.int64)
     tie, tie_pos, tie_neg = None, np.zeros(width, np.int64), np.zeros(width, np.int64)
-    for start in range(0, len(order), CHUNK_ROWS):
-        rows = order[start:start + CHUNK_ROWS]
+    for start in range(0, len(order), chunk_rows):
+        rows = order[start:start + chunk_rows]
         sizes = np.array([len(d) for d in lists[rows]])
         flat = np.repeat(np.arange(len(rows)), sizes) * width + np.concatenate(lists[rows]) - first
         times = np.bincount(flat, minlength=len(rows) * width).reshape(len(rows), width)
@@ -90,7 +90,15 @@ def _cell_areas(cell: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
 
 
 def resampled_auroc(
-    df: DataFrame, group: str, keys: list[str], y: str, score: str, resamples: int, seed: int
+    df: DataFrame,
+    group: str,
+    keys: list[str],
+    y: str,
+    score: str,
+    resamples: int,
+    seed: int,
+    draw_block: int = DRAW_BLOCK,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """AUROC per (resample, keys) under the group draws.
 
@@ -104,7 +112,7 @@ def resampled_auroc(
     splits = score_splits(df, score)
     collapsed = collapse_scores(df, [group, *keys], y, score, None, splits)
     draws, groups = _draws(df, group, resamples, seed)
-    block = F.floor(F.col("resample") / DRAW_BLOCK).cast("int").alias("block")
+    block = F.floor(F.col("resample") / draw_block).cast("int").alias("block")
     lists = join_on(
         draws.groupBy("group_no", block).agg(F.collect_list("resample").alias("draws")), groups, ["group_no"]
     ).drop("group_no")
@@ -117,7 +125,7 @@ def resampled_auroc(
     )
     alone = single_value_cells(splits)
     ordered = drawn.where(~F.col(CELL).isin(alone)) if alone else drawn
-    areas = ordered.groupBy(*keys, CELL, "block").applyInPandas(lambda cell: _cell_areas(cell, keys), schema)
+    areas = ordered.groupBy(*keys, CELL, "block").applyInPandas(lambda cell: _cell_areas(cell, keys, draw_block, chunk_rows), schema)
     if alone:
         tied = (
             drawn.where(F.col(CELL).isin(alone))
@@ -140,6 +148,7 @@ def cluster_bootstrap(
     repeat: str | None = "repeat",
     baseline: str = "B",
     extended: str = "D",
+    **options,
 ) -> DataFrame:
     """One ``delta`` per resample: AUROC(extended) - AUROC(baseline), averaged over repeats.
 
@@ -148,7 +157,7 @@ def cluster_bootstrap(
     """
     repeats = [repeat] if repeat else []
     paired = df.where(F.col(model).isin(baseline, extended))
-    scored = resampled_auroc(paired, group, [*repeats, model], y, score, resamples, seed)
+    scored = resampled_auroc(paired, group, [*repeats, model], y, score, resamples, seed, **options)
     sides = scored.groupBy("resample", *repeats).agg(
         F.max(F.when(F.col(model) == extended, F.col("auroc"))).alias("_e"),
         F.max(F.when(F.col(model) == baseline, F.col("auroc"))).alias("_b"),
