@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.metrics import exact_quantiles
-from cohortry.operators.skew import join_on
+from cohortry.operators.skew import broadcast_checked, join_on
+from cohortry.session import cut_lineage
 
 NEWTON_WIDTH = 300
 PASS_BYTES = 256 << 20
@@ -81,81 +82,76 @@ def fold_scaler(
 
     One row holds arrays over all positions: ``median`` of the values present, and ``mean``
     and population ``scale`` after filling gaps with it. A constant position has scale 1;
-    positions not listed pass through (mean 0, scale 1). Statistics are sums per part, so
-    leaving a part out is a subtraction of small tables and costs no further pass.
+    positions not listed pass through (mean 0, scale 1). The rows are read for the sums and
+    the squared deviations of each part; training sets are put together from those small
+    tables, never by subtracting the part that is left out.
     """
-    blank = F.array_repeat(F.lit(0.0), width)
     gap = lambda x: x.isNull() | F.isnan(x)
-    present = F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(1.0))
-    filled = F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(x))
     summed = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c)))
-    centre = (
-        df.agg(summed(filled).alias("_s"), summed(present).alias("_n"))
-        .select(F.zip_with("_s", "_n", lambda s, n: F.when(n > 0, s / F.nullif(n, F.lit(0.0))).otherwise(0.0)).alias("m"))
-        .first()
-    )
-    shift = F.array(*[F.lit(float(x)) for x in centre["m"]]) if centre and centre["m"] else blank
-    # values near their overall mean keep the sums of squares well conditioned
-    moved = F.zip_with(F.col(vec), shift, lambda x, m: F.when(gap(x), 0.0).otherwise(x - m))
-    per_part = df.select(
-        *keys, part, F.col(outcome).cast("bigint").alias("_y"), moved.alias("_x"), present.alias("_p")
-    ).groupBy(*keys, part).agg(
+    ratio = lambda s, n: F.coalesce(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
+    sums = df.groupBy(*keys, part).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.sum("_y").alias("_pos"),
-        summed(F.col("_x")).alias("_s1"),
-        summed(F.transform("_x", lambda x: x * x)).alias("_s2"),
-        summed(F.col("_p")).alias("_n"),
-    )
-    names = ["_s1", "_s2", "_n"]
-    whole = per_part.groupBy(*keys).agg(
-        F.sum("_rows").alias("_rows"), F.sum("_pos").alias("_pos"),
-        *[summed(F.col(n)).alias(n) for n in names],
+        F.sum(F.col(outcome).cast("bigint")).alias("_pos"),
+        summed(F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(x))).alias("_s"),
+        summed(F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(1.0))).alias("_n"),
+    ).withColumn("_mean", F.zip_with("_s", "_n", ratio)).drop("_s")
+    # as many rows as there are training sets and parts
+    sums = cut_lineage(sums)
+    own = broadcast_checked(sums.select(*keys, part, "_mean"))
+    off = F.zip_with(vec, "_mean", lambda x, m: F.when(gap(x), 0.0).otherwise((x - m) * (x - m)))
+    spread = join_on(df, own, [*keys, part]).groupBy(*keys, part).agg(summed(off).alias("_m2"))
+    parts = cut_lineage(join_on(sums, spread, [*keys, part]))
+    left_out = parts.select(*keys, F.col(part).cast("int").alias("excluded")).unionByName(
+        parts.select(*keys).distinct().withColumn("excluded", F.lit(None).cast("int"))
     )
-    renamed = whole.select(*keys, *[F.col(c).alias(f"_all{c}") for c in ["_rows", "_pos", *names]])
-    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
-    left_out = join_on(per_part, renamed, keys).select(
-        *keys, F.col(part).cast("int").alias("excluded"),
-        (F.col("_all_rows") - F.col("_rows")).alias("_rows"), (F.col("_all_pos") - F.col("_pos")).alias("_pos"),
-        *[minus(f"_all{n}", n).alias(n) for n in names],
+    members = join_on(parts, left_out, keys).where(F.col("excluded").isNull() | (F.col("excluded") != F.col(part)))
+    sets = [*keys, "excluded"]
+    centres = members.groupBy(*sets).agg(
+        F.sum("_rows").alias("rows"), F.sum("_pos").alias("positives"),
+        summed(F.col("_n")).alias("_present"),
+        summed(F.zip_with("_n", "_mean", lambda n, m: n * m)).alias("_total"),
+    ).withColumn("_centre", F.zip_with("_total", "_present", ratio))
+    between = F.transform(
+        F.arrays_zip("_m2", "_n", "_mean", "_centre"),
+        lambda e: e["_m2"] + e["_n"] * (e["_mean"] - e["_centre"]) * (e["_mean"] - e["_centre"]),
     )
-    sums = left_out.unionByName(whole.withColumn("excluded", F.lit(None).cast("int")))
-    gaps = _positions_with_gaps(whole, positions)
+    squares = join_on(members, centres.select(*sets, "_centre"), sets).groupBy(*sets).agg(summed(between).alias("_m2"))
+    stats = join_on(centres, squares, sets)
+    gaps = _positions_with_gaps(parts, positions)
     if gaps:
-        medians = _medians(df, keys, part, gaps, width, vec)
-        sums = join_on(sums, medians, [*keys, "excluded"], "left")
-        sums = sums.withColumn("_med", F.coalesce("_med", blank))
+        stats = join_on(stats, _medians(df, keys, part, gaps, width, vec), sets, "left")
+        stats = stats.withColumn("_median", F.coalesce("_median", "_centre"))
     else:
-        sums = sums.withColumn("_med", shift)
+        # without gaps nothing is filled in, and the median is never used
+        stats = stats.withColumn("_median", F.col("_centre"))
     listed = set(positions)
-    chosen = F.array(*[F.lit(i in listed) for i in range(width)])
-    z = F.arrays_zip(
-        F.col("_s1").alias("s1"), F.col("_s2").alias("s2"), F.col("_n").alias("n"),
-        F.col("_med").alias("med"), shift.alias("m"), chosen.alias("use"),
-    )
-
-    def stats(e):
-        missing = F.col("_rows") - e["n"]
-        rows = F.nullif(F.col("_rows").cast("double"), F.lit(0.0))
-        offset = (e["s1"] + missing * (e["med"] - e["m"])) / rows
-        mean = e["m"] + offset
-        variance = (e["s2"] + missing * (e["med"] - e["m"]) * (e["med"] - e["m"])) / rows - offset * offset
+    used = F.array(*[F.lit(i in listed) for i in range(width)])
+
+    def finished(e):
+        missing = F.col("rows") - e["_present"]
+        rows = F.nullif(F.col("rows").cast("double"), F.lit(0.0))
+        mean = (e["_present"] * e["_centre"] + missing * e["_median"]) / rows
+        variance = (
+            e["_m2"] + e["_present"] * (e["_centre"] - mean) * (e["_centre"] - mean)
+            + missing * (e["_median"] - mean) * (e["_median"] - mean)
+        ) / rows
         constant = variance <= F.lit(1e-24) * mean * mean
         return F.struct(
-            F.when(e["use"], e["med"]).otherwise(0.0).alias("median"),
-            F.when(e["use"], mean).otherwise(0.0).alias("mean"),
-            F.when(~e["use"] | constant, 1.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("scale"),
+            F.when(e["used"], e["_median"]).otherwise(0.0).alias("median"),
+            F.when(e["used"], mean).otherwise(0.0).alias("mean"),
+            F.when(~e["used"] | constant, 1.0).otherwise(F.sqrt(variance)).alias("scale"),
         )
 
-    return sums.withColumn("_z", F.transform(z, stats)).select(
-        *keys, "excluded", F.col("_rows").alias("rows"), F.col("_pos").alias("positives"),
-        *[F.col(f"_z.{n}").alias(n) for n in ("median", "mean", "scale")],
+    zipped = F.arrays_zip("_m2", "_present", "_centre", "_median", used.alias("used"))
+    return stats.withColumn("_z", F.transform(zipped, finished)).select(
+        *sets, "rows", "positives", *[F.col(f"_z.{n}").alias(n) for n in ("median", "mean", "scale")]
     )
 
 
-def _positions_with_gaps(whole: DataFrame, positions: list[int]) -> list[int]:
+def _positions_with_gaps(parts: DataFrame, positions: list[int]) -> list[int]:
     """Positions where some value is missing; at most the vector width of them."""
-    least = whole.select(F.posexplode("_n").alias("position", "_n"), "_rows").where(F.col("_n") < F.col("_rows"))
-    found = {row["position"] for row in least.select("position").distinct().collect()}
+    short = parts.select("_rows", F.posexplode("_n").alias("position", "_present")).where("_present < _rows")
+    found = {row["position"] for row in short.select("position").distinct().collect()}
     return sorted(found & set(positions))
 
 
@@ -173,7 +169,7 @@ def _medians(df: DataFrame, keys: list[str], part: str, gaps: list[int], width:
         F.map_from_entries(F.collect_list(F.struct("position", "quantile"))).alias("_map")
     )
     filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("_map")[i], F.lit(0.0)))
-    return pairs.select(*keys, "excluded", filled.alias("_med"))
+    return pairs.select(*keys, "excluded", filled.alias("_median"))
 
 
 def collect_scalings(scaler: DataFrame, outer: str = "outer") -> dict[tuple[int, int | None], Scaling]:

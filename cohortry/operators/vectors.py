@@ -78,6 +78,14 @@ def vector_violations(df: DataFrame, dimension: int, id: str = "id", vec: str =
     return df.select(id, F.explode(problems).alias("problem"))
 
 
+def _near(x: Column, y: Column, atol: float, rtol: float) -> Column:
+    """Closeness relative to y; values that are not finite are near only if equal, NaN never is."""
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    within = F.abs(x - y) <= F.lit(atol) + F.lit(rtol) * F.abs(y)
+    equal = (x == y) & ~F.isnan(x)
+    return F.coalesce(equal | (finite(x) & finite(y) & within), F.lit(False))
+
+
 def compare_vectors(
     first: DataFrame, second: DataFrame, id: str = "id", vec: str = "vec", atol: float = TOLERANCE, rtol: float = TOLERANCE
 ) -> DataFrame:
@@ -87,12 +95,7 @@ def compare_vectors(
     both = a.join(b, id, "full_outer")
     shared = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     gaps = F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
-    near = F.zip_with(
-        "_a", "_b",
-        lambda x, y: F.coalesce(
-            F.abs(x.cast("double") - y.cast("double")) <= F.lit(atol) + F.lit(rtol) * F.abs(y.cast("double")), F.lit(False)
-        ),
-    )
+    near = F.zip_with("_a", "_b", lambda x, y: _near(x.cast("double"), y.cast("double"), atol, rtol))
     return both.select(
         id,
         shared.alias("in_both"),
