@@ -51,6 +51,13 @@ def collapse_scores(
     )
 
 
+def auroc_of_counts(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """AUROC per keys from ``pos`` and ``neg`` counts in rows of any finer grain."""
+    celled = with_score_cells(counts, score, score_splits(counts, score))
+    merged = celled.groupBy(*keys, CELL, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return auroc_of_collapsed(merged, keys, score)
+
+
 def auroc_of_collapsed(collapsed: DataFrame, keys: list[str], score: str) -> DataFrame:
     """AUROC per keys from collapsed counts: pairs ordered inside cells plus pairs across cells.
 

@@ -18,6 +18,7 @@ from cohortry.operators.skew import join_on
 
 CELL = "_cell"
 MAX_CELLS = 10_000
+CELL_ROWS = 50_000
 
 
 def default_cells(df: DataFrame) -> int:
@@ -29,15 +30,18 @@ def default_cells(df: DataFrame) -> int:
 def score_splits(df: DataFrame, column: str, cells: int | None = None) -> list[float]:
     """Borders that cut ``column`` into cells of about equal row count.
 
-    One aggregate over one column; at most ``cells - 1`` numbers reach the driver.
-    The borders only balance the work: results are exact for any borders.
+    One aggregate over one column; at most ``cells - 1`` numbers reach the driver. Unless
+    ``cells`` is given, small tables get fewer, with about CELL_ROWS rows each. The
+    borders only balance the work: results are exact for any borders.
     """
-    cells = cells or default_cells(df)
-    steps = [i / cells for i in range(1, cells)]
+    most = cells or default_cells(df)
+    steps = [i / most for i in range(1, most)]
     found = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), steps, 10 * cells).alias("q")
-    ).first()["q"]
-    borders = sorted(float(q) + 0.0 for q in found or [] if q is not None and math.isfinite(q))
+        F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), steps, 10 * most).alias("q")
+    ).first()
+    wanted = most if cells else min(most, -(-found["n"] // CELL_ROWS))
+    picked = [found["q"][round(i * most / wanted) - 1] for i in range(1, wanted)] if found["q"] else []
+    borders = sorted(float(q) + 0.0 for q in picked if q is not None and math.isfinite(q))
     # a border found twice is a value with a cell's worth of rows: it gets a cell to itself
     heavy = {low for low, high in zip(borders, borders[1:]) if low == high}
     return sorted({*borders, *(math.nextafter(v, math.inf) for v in heavy)})

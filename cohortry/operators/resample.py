@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_cell, stable_hash
-from cohortry.operators.metrics import auroc_of_cells, collapse_scores
-from cohortry.operators.prefix import CELL, default_cells, numbered, score_splits, single_value_cells
+from cohortry.operators.metrics import auroc_of_cells
+from cohortry.operators.prefix import CELL, default_cells, numbered, score_splits, single_value_cells, with_score_cells
 from cohortry.operators.skew import join_on, salted_join
+from cohortry.session import cut_lineage
 
 DRAW_BLOCK = 250
 CHUNK_ROWS = 2048
@@ -89,29 +90,41 @@ def _cell_areas(cell: pd.DataFrame, keys: list[str], draw_block: int, chunk_rows
     return result[(result["pos"] > 0) | (result["neg"] > 0)]
 
 
+def group_counts(df: DataFrame, group: str, keys: list[str], y: str, score: str) -> DataFrame:
+    """Outcome counts per (group, keys, score), written once.
+
+    The bootstrap looks at them several times; the rows they come from are read once.
+    """
+    scored = df.withColumn(score, F.col(score).cast("double") + F.lit(0.0))
+    return cut_lineage(
+        scored.groupBy(group, *keys, score).agg(
+            F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+        )
+    )
+
+
 def resampled_auroc(
-    df: DataFrame,
+    counts: DataFrame,
     group: str,
     keys: list[str],
-    y: str,
     score: str,
     resamples: int,
     seed: int,
     draw_block: int = DRAW_BLOCK,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """AUROC per (resample, keys) under the group draws.
-
-    Rows are collapsed to (group, keys, score) counts and each meets the list of its
-    group's draws, in blocks of resamples; a group that holds much of the data is split
-    over many tasks for that. No row is copied per resample. Within a cell of scores the
-    weights of all resamples are summed as arrays; cells hold about equal row counts, and
-    a score with very many rows has its own cell, where only sums are needed and are taken
-    by a plain aggregate. What crosses cells is one small row per cell and resample.
+    """AUROC per (resample, keys) under the group draws, from ``group_counts``.
+
+    Each count meets the list of its group's draws, in blocks of resamples; a group that
+    holds much of the data is split over many tasks for that. No row is copied per
+    resample. Within a cell of scores the weights of all resamples are summed as arrays;
+    cells hold about equal row counts, and a score with very many rows has its own cell,
+    where only sums are needed and are taken by a plain aggregate. What crosses cells is
+    one small row per cell and resample.
     """
-    splits = score_splits(df, score)
-    collapsed = collapse_scores(df, [group, *keys], y, score, None, splits)
-    draws, groups = _draws(df, group, resamples, seed)
+    splits = score_splits(counts, score)
+    collapsed = with_score_cells(counts, score, splits)
+    draws, groups = _draws(counts, group, resamples, seed)
     block = F.floor(F.col("resample") / draw_block).cast("int").alias("block")
     lists = join_on(
         draws.groupBy("group_no", block).agg(F.collect_list("resample").alias("draws")), groups, ["group_no"]
@@ -155,9 +168,26 @@ def cluster_bootstrap(
     A repeat whose draw has one outcome class is skipped; a resample with no repeat
     left gives no row.
     """
+    keys = [model] + ([repeat] if repeat else [])
+    counts = group_counts(df.where(F.col(model).isin(baseline, extended)), group, keys, y, score)
+    return bootstrap_of_counts(counts, group, model, score, resamples, seed, repeat, baseline, extended, **options)
+
+
+def bootstrap_of_counts(
+    counts: DataFrame,
+    group: str,
+    model: str,
+    score: str,
+    resamples: int,
+    seed: int,
+    repeat: str | None = "repeat",
+    baseline: str = "B",
+    extended: str = "D",
+    **options,
+) -> DataFrame:
+    """The same from ``group_counts`` of the two models."""
     repeats = [repeat] if repeat else []
-    paired = df.where(F.col(model).isin(baseline, extended))
-    scored = resampled_auroc(paired, group, [*repeats, model], y, score, resamples, seed, **options)
+    scored = resampled_auroc(counts, group, [*repeats, model], score, resamples, seed, **options)
     sides = scored.groupBy("resample", *repeats).agg(
         F.max(F.when(F.col(model) == extended, F.col("auroc"))).alias("_e"),
         F.max(F.when(F.col(model) == baseline, F.col("auroc"))).alias("_b"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 SALTS = 64
 BROADCAST_ROWS = 100_000
+HOT_ROWS = 10_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -38,15 +39,25 @@ def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def hot_keys(rows: DataFrame, keys: list[str], shares: int = SALTS) -> DataFrame:
-    """Keys that hold more than 1/shares of all rows.
+def hot_keys(rows: DataFrame, keys: list[str], shares: int = SALTS, least: int | None = None) -> list[Row]:
+    """Keys that hold more than 1/shares of all rows, and at least ``least`` rows (HOT_ROWS).
 
-    There can be fewer than ``shares`` of them, whatever the size of ``rows``, so
-    the result may be broadcast.
+    There can be fewer than ``shares`` of them, whatever the size of ``rows``. One job
+    counts rows per key with map-side partials and brings back the largest counts.
     """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.agg(F.sum("_n")).scalar()
-    return counted.where(F.col("_n") * shares > total).select(*keys)
+    total = Observation()
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("all"))
+    least = HOT_ROWS if least is None else least
+    largest = counted.orderBy(F.col("_n").desc()).limit(shares).collect()
+    return [row for row in largest if row["_n"] * shares > total.get["all"] and row["_n"] >= least]
+
+
+def _is_one_of(df: DataFrame, keys: list[str], found: list[Row]) -> Column:
+    kinds = {f.name: f.dataType for f in df.schema}
+    same = lambda row: reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(row[k]).cast(kinds[k])) for k in keys]
+    )
+    return reduce(lambda a, b: a | b, [same(row) for row in found])
 
 
 def salted_join(
@@ -56,21 +67,19 @@ def salted_join(
     spread: Column,
     how: str = "inner",
     salts: int = SALTS,
+    least: int | None = None,
 ) -> DataFrame:
-    """Join rows to a lookup with at most one row per key, splitting the hot keys.
+    """Join rows to a lookup, splitting the keys that hold a large share of ``rows``.
 
-    Rows of a hot key are dealt over ``salts`` tasks by ``spread``; the matching
-    lookup row is repeated that many times. Other keys are joined as usual.
+    Rows of a hot key are dealt over ``salts`` tasks by ``spread``; the lookup rows of
+    that key are repeated as often. Other keys, and tables without hot keys, are joined
+    as usual.
     """
-    hot = hot_keys(rows, keys, salts).withColumn("_hot", F.lit(True))
-    flagged = join_on(rows, F.broadcast(hot), keys, "left")
-    salted = flagged.withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    repeated = join_on(lookup, F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
+    hot = hot_keys(rows, keys, SALTS, least)
+    if not hot:
+        return join_on(rows, lookup, keys, how)
+    dealt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", F.when(_is_one_of(rows, keys, hot), dealt).otherwise(F.lit(0)))
+    every = F.when(_is_one_of(lookup, keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = lookup.withColumn("_salt", F.explode(every))
     return join_on(salted, repeated, [*keys, "_salt"], how).drop("_salt")

@@ -138,10 +138,10 @@ def coverage_report(
         F.coalesce(F.bool_and(F.coalesce("close", F.lit(False))), F.lit(True)).alias("within_tolerance"),
         F.max("max_abs_diff").alias("max_abs_diff"),
     )
-    one = None
-    for part in (asked, found, off, sample, pairs):
-        part = part.withColumn("_one", F.lit(1))
-        one = part if one is None else one.join(part, "_one")
+    one = asked.select(
+        "*", *[part.select(F.struct("*")).scalar().alias(name) for name, part in (
+            ("found", found), ("off", off), ("sample", sample), ("pairs", pairs))]
+    ).select("*", "found.*", "off.*", "sample.*", "pairs.*")
     size = F.greatest(F.lit(1), F.ceil(F.col("requested") * F.lit(fraction)))
     coverage = F.col("successful") / F.nullif(F.col("requested"), F.lit(0))
     passed = (

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import stable_hash
+from cohortry.session import spread
 
 C_GRID = [0.0001, 0.001, 0.01, 0.1, 1.0, 10.0, 100.0]
 REPEATS = 5
@@ -28,7 +29,7 @@ def h(*parts: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per order: category, release and a binary outcome that may be missing."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     return orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("group_id"),
@@ -229,7 +230,7 @@ candidates as (
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids per document: hashed words, 0 standing for an unknown word."""
     words = F.split(F.trim(F.col("text")), " ")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"), F.transform(words, token_of).alias("token_ids")
     )
 
@@ -243,7 +244,8 @@ def token_of(word):
 def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tokens in rows (id, position, token)."""
     words = F.split(F.trim(F.col("text")), " ")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(words).alias("position", "word"))
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
+    rows = documents.select(F.col("doc_id").alias("id"), F.posexplode(words).alias("position", "word"))
     return rows.select("id", "position", token_of(F.col("word")).alias("token"))
 
 

@@ -13,3 +13,12 @@ def spark():
     session = local_session(4, "cohortry-tests")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def small_limits(monkeypatch):
+    """Make small fixtures take the paths that large tables take: many cells, salted joins."""
+    from cohortry.operators import prefix, skew
+
+    monkeypatch.setattr(prefix, "CELL_ROWS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
