@@ -74,6 +74,32 @@ long as (unpivot bundle on auroc, pr_auroc, brier, sensitivity, specificity, pre
   into name metric value value)"""
 
 
+def newton_sql(steps: int = 8) -> str:
+    """CTEs ``n0`` .. ``n<steps>`` that walk to the calibration line of the prediction view."""
+    ctes = [
+        """base as materialized (select model, repeat, outcome::double as y, ln(q / (1 - q)) as x from (
+    select *, greatest(least(probability, 1 - 1e-6), 1e-6) as q from predictions))""",
+        "n0 as (select distinct model, repeat, 0.0::double as a, 1.0::double as b from predictions)",
+    ]
+    for i in range(steps):
+        ctes.append(f"""n{i + 1} as (
+  select model, repeat, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a,
+    b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b
+  from (select model, repeat, a, b, sum(p - y) as g0, sum((p - y) * x) + b / 1e6 as g1, sum(p * (1 - p)) as h00,
+      sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) + 1e-6 as h11
+    from (select *, 1 / (1 + exp(-(a + b * x))) as p from base join n{i} using (model, repeat))
+    group by model, repeat, a, b))""")
+    return ", ".join(ctes)
+
+
+NINE = QUARTET.split("bundle as (")[0] + newton_sql() + """,
+bundle as (select aurocs.*, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy,
+    a as calibration_intercept, b as calibration_slope
+  from aurocs join aps using (model, repeat) join rates using (model, repeat) join n8 using (model, repeat)),
+long as (unpivot bundle on auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy,
+  calibration_intercept, calibration_slope into name metric value value)"""
+
+
 def draws_sql(source: str, repeats: bool, seed: int, resamples: int) -> str:
     """CTEs from a prediction CTE to one delta per resample."""
     keys = "resample, model" + (", repeat" if repeats else "")
@@ -136,19 +162,15 @@ def x4(spark, d):
 
 
 def x5(spark, d):
-    return rounded(metrics.calibration_fit(views.predictions(spark, d), KEYS, Y, P), 4)
+    return rounded(metrics.calibration_fit(views.predictions(spark, d), KEYS, Y, P))
 
 
 def x6(spark, d):
-    # the two calibration columns come from Newton steps; x5 and the tests cover them
-    bundle = metrics.evaluate(views.predictions(spark, d), KEYS, Y, P, "youden_threshold")
-    return rounded(bundle.drop("calibration_intercept", "calibration_slope"))
+    return rounded(metrics.evaluate(views.predictions(spark, d), KEYS, Y, P, "youden_threshold"))
 
 
 def w1(spark, d):
-    return metrics.average_rank(
-        views.predictions(spark, d).where("repeat = 0").select("model", "id", P), ["model"], P
-    )
+    return metrics.average_rank(views.predictions(spark, d).select(*KEYS, "id", P), KEYS, P)
 
 
 def w2(spark, d):
@@ -269,7 +291,7 @@ def estimate_row(spark, d):
 
 
 METRIC_LIST = "auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy"
-ROUNDED = ", ".join(f"round({m}, 6) as {m}" for m in METRIC_LIST.split(", "))
+ROUNDED = ", ".join(f"round({m}, 6) as {m}" for m in metrics.BUNDLE)
 MEANS = ", ".join(f"round(avg({m}), 6) as {m}" for m in METRIC_LIST.split(", "))
 
 ENTRIES = {
@@ -283,12 +305,13 @@ ENTRIES = {
         x4, f"with {views.PREDICTIONS}, rates as ({RATES_SQL}) select model, repeat, round(sensitivity, 6) as sensitivity, "
             "round(specificity, 6) as specificity, round(precision, 6) as precision, "
             "round(balanced_accuracy, 6) as balanced_accuracy from rates"),
-    "x5_calibration_fit": (x5, None),
-    "x6_metric_bundle": (x6, f"with {QUARTET} select model, repeat, {ROUNDED} from bundle"),
+    "x5_calibration_fit": (
+        x5, f"with {views.PREDICTIONS}, {newton_sql()} select model, repeat, round(a, 6) as calibration_intercept, "
+            "round(b, 6) as calibration_slope from n8"),
+    "x6_metric_bundle": (x6, f"with {NINE} select model, repeat, {ROUNDED} from bundle"),
     "w1_average_rank": (
-        w1, f"with {views.PREDICTIONS}, one as (select * from predictions where repeat = 0) "
-            "select model, id, probability, rank() over (partition by model order by probability) "
-            "+ (count(*) over (partition by model, probability) - 1) / 2.0::double as average_rank from one"),
+        w1, f"with {views.PREDICTIONS} select model, repeat, id, probability, rank() over (partition by model, repeat order by probability) "
+            "+ (count(*) over (partition by model, repeat, probability) - 1) / 2.0::double as average_rank from predictions"),
     "w2_roc_curve": (
         w2, f"with {ROC_SQL} select model, repeat, point, round(threshold, 6) as threshold, round(fpr, 6) as fpr, "
             "round(tpr, 6) as tpr from roc"),
