@@ -193,6 +193,13 @@ clusters as (select v.rep, u.rep as leader, led.cluster_no from joined j join vi
 assigned as (select x.id, leader, cluster_no from {source} x join sets using (bits) join clusters using (rep))"""
 
 
+def one_release(name: str) -> str:
+    return f"""select id, group_id, '{name}' as release from (
+  with keyless as (select * from rows where key = '' and release = '{name}'), {pairs_sql('keyless', THRESHOLD)}
+  select id, 'acyclic:'||lpad(cluster_no::varchar, 4, '0') as group_id from assigned
+  union all select id, 'scaffold:'||key from rows where key <> '' and release = '{name}')"""
+
+
 def deal_sql() -> str:
     return views.COHORT + f""", sizes as (select group_id, count(*) as n, sum(outcome) as pos from cohort group by group_id),
 seeded as (select *, seed from sizes cross join (values {', '.join(f'({i}, {s})' for i, s in enumerate(SEEDS))}) s(repeat, seed)),
@@ -247,7 +254,9 @@ ENTRIES = {
             "select id, 'acyclic:'||lpad(cluster_no::varchar, 4, '0') from assigned"),
     "v8_leader_clusters": (
         v8, f"with {views.BITS}, {pairs_sql('bits', 0.3)} select id, leader, cluster_no from assigned"),
-    "f3_isolated_groups": (f3, None),
+    "f3_isolated_groups": (
+        f3, f"with {views.BITS}, rows as (select *, case when id % 4 = 1 then 'added' else 'original' end as release from bits) "
+            + " union all ".join(one_release(r) for r in ("original", "added"))),
     "a2_group_profile": (
         a2, f"with {views.COHORT}, s as (select release, group_id, count(*) as n from cohort group by all) "
             "select release, sum(n)::bigint as rows, count(*) as groups, max(n) as largest_group, count_if(n = 1)::bigint as singleton_groups, "

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_cell, stable_hash
-from cohortry.operators.skew import join_on
+from cohortry.operators.skew import join_on, salted_join, whole_row
 
 DIGEST_LEAF = 100_000
 
@@ -283,13 +283,15 @@ def id_digest(df: DataFrame, key: str = "id", leaf: int = DIGEST_LEAF) -> DataFr
     """
     ids = df.select(F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
     size = ids.count()
-    level = ids.withColumn("_bucket", F.lit(0).cast("bigint"))
-    if size > leaf:
-        level = ids.withColumn("_bucket", hash_cell(stable_hash("_id"), -(-2 * size // leaf)))
     digest = lambda column: F.sha2(F.array_join(F.sort_array(F.collect_list(column)), "\n"), 256)
-    level = level.groupBy("_bucket").agg(digest("_id").alias("_id"))
-    if size > leaf:
-        level = level.agg(digest("_id").alias("_id"))
+    bits = max(0, (-(-2 * size // leaf) - 1).bit_length()) if size > leaf else 0
+    bucket = hash_cell(stable_hash("_id"), 1 << bits) if bits else F.lit(0).cast("bigint")
+    level = ids.withColumn("_bucket", bucket).groupBy("_bucket").agg(digest("_id").alias("_id"))
+    while bits:
+        # digests of up to 1024 neighbouring buckets meet in one digest of the next level
+        step = min(bits, 10)
+        bits -= step
+        level = level.withColumn("_bucket", F.shiftright("_bucket", step)).groupBy("_bucket").agg(digest("_id").alias("_id"))
     return level.select(F.lit(size).cast("bigint").alias("ids"), F.col("_id").alias("digest"))
 
 
@@ -370,7 +372,8 @@ def validated_join(left: DataFrame, right: DataFrame, keys: list[str], cardinali
     enforce(key_violations(right, keys).where("problem = 'duplicate'"), "right side is not unique")
     if cardinality == "one_to_one":
         enforce(key_violations(left, keys).where("problem = 'duplicate'"), "left side is not unique")
-    return join_on(left, right, keys, "left")
+        return join_on(left, right, keys, "left")
+    return salted_join(left, right, keys, whole_row(left), "left")
 
 
 def concatenate(parts: list[DataFrame]) -> DataFrame:

@@ -246,7 +246,9 @@ def _sum_pass(df: DataFrame, tasks, points, scalings, options: FitOptions, curva
         if totals:
             yield pd.DataFrame({"task": list(totals), "stats": [t.tolist() for t in totals.values()]})
 
-    partial = df.select("vec", "outcome", "parts").mapInPandas(add, "task int, stats array<double>")
+    # every task sends one row of sums per fit, so there are as many tasks as run at once
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    partial = df.select("vec", "outcome", "parts").coalesce(slots).mapInPandas(add, "task int, stats array<double>")
     return partial.groupBy("task").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
 
 

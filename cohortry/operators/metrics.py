@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.scores import clipped_logit
 from cohortry.operators.prefix import CELL, running_sums, score_splits, with_score_cells
-from cohortry.operators.skew import broadcast_checked, is_small, join_on
+from cohortry.operators.skew import hot_keys, is_small, join_on, salted_join, whole_row
 from cohortry.session import cut_lineage
 
 BUNDLE = [
@@ -201,12 +201,13 @@ def calibration_of_counts(
         clipped_logit(F.col(score)).alias("_x"),
     )
     few = is_small(base.select(*keys).distinct())
+    hot = [] if few else hot_keys(base, keys)
     current = None
     for _ in range(steps):
         if current is None:
             rows = base.withColumns({"_a": F.lit(0.0), "_b": F.lit(1.0)})
         else:
-            rows = join_on(base, F.broadcast(current) if few else current, keys)
+            rows = salted_join(base, F.broadcast(current) if few else current, keys, F.col("_x"), hot=hot)
         fitted = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
         rows = rows.withColumn("_p", fitted).select(
             *keys, "_x", "_a", "_b",
@@ -272,7 +273,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, splits: list[float]
     counts = celled.groupBy(*keys, CELL, value).agg(F.count(F.lit(1)).alias("_peers"))
     upto = running_sums(counts, keys, [F.col(value)], {"_upto": F.col("_peers")})
     ranked = upto.withColumn("average_rank", F.col("_upto") - (F.col("_peers") - 1) / F.lit(2.0))
-    return join_on(df, ranked.select(*keys, value, "average_rank"), [*keys, value])
+    return salted_join(df, ranked.select(*keys, value, "average_rank"), [*keys, value], whole_row(df))
 
 
 def roc_curve(
@@ -378,7 +379,11 @@ def calibration_bins(df: DataFrame, keys: list[str], y: str, score: str, bins: i
         .groupBy(*keys)
         .agg(F.collect_list("quantile").alias("_edges"))
     )
-    joined = join_on(counted, broadcast_checked(edges), keys)
+    edges = cut_lineage(edges)
+    if is_small(edges):
+        joined = join_on(counted, F.broadcast(edges), keys)
+    else:
+        joined = salted_join(counted, edges, keys, F.col(score))
     binned = joined.withColumn("_bin", F.size(F.filter("_edges", lambda edge: edge < F.col(score))))
     filled = binned.groupBy(*keys, "_bin").agg(
         (F.sum(F.col(score) * F.col("_n")) / F.sum("_n")).alias("mean_predicted"),

@@ -52,6 +52,11 @@ def hot_keys(rows: DataFrame, keys: list[str], shares: int = SALTS, least: int |
     return [row for row in largest if row["_n"] * shares > total.get["all"] and row["_n"] >= least]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one value, to spread rows by."""
+    return F.struct(*df.columns)
+
+
 def _is_one_of(df: DataFrame, keys: list[str], found: list[Row]) -> Column:
     kinds = {f.name: f.dataType for f in df.schema}
     same = lambda row: reduce(
@@ -68,14 +73,15 @@ def salted_join(
     how: str = "inner",
     salts: int = SALTS,
     least: int | None = None,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Join rows to a lookup, splitting the keys that hold a large share of ``rows``.
 
     Rows of a hot key are dealt over ``salts`` tasks by ``spread``; the lookup rows of
     that key are repeated as often. Other keys, and tables without hot keys, are joined
-    as usual.
+    as usual. Give ``hot`` where the hot keys are known already.
     """
-    hot = hot_keys(rows, keys, SALTS, least)
+    hot = hot_keys(rows, keys, SALTS, least) if hot is None else hot
     if not hot:
         return join_on(rows, lookup, keys, how)
     dealt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
