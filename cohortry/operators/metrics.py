@@ -283,7 +283,11 @@ def roc_curve(
 
     ``point`` numbers the points from 0. Collinear points are kept.
     """
-    counts = threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score)
+    return roc_points(threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score), keys, score)
+
+
+def roc_points(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The ROC curve from ``threshold_counts``."""
     here = F.struct(
         F.col("point"),
         F.col(score).alias("threshold"),
@@ -306,7 +310,11 @@ def pr_curve(
     df: DataFrame, keys: list[str], y: str, score: str, splits: list[float] | None = None
 ) -> DataFrame:
     """One point per distinct threshold, rising, then the end point (precision 1, recall 0)."""
-    counts = threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score)
+    return pr_points(threshold_counts(collapse_scores(df, keys, y, score, None, splits), keys, score), keys, score)
+
+
+def pr_points(counts: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The precision-recall curve from ``threshold_counts``."""
     here = F.struct(
         (F.col("point_total") - F.col("point")).alias("point"),
         F.col(score).alias("threshold"),
@@ -372,10 +380,16 @@ def calibration_bins(df: DataFrame, keys: list[str], y: str, score: str, bins: i
     """
     if not keys:
         return calibration_bins(df.withColumn("_all", F.lit(0)), ["_all"], y, score, bins).drop("_all")
-    counted = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_pos"))
+    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    return bins_of_counts(cut_lineage(counts), keys, score, bins)
+
+
+def bins_of_counts(counts: DataFrame, keys: list[str], score: str, bins: int = 10) -> DataFrame:
+    """The calibration bins from ``pos`` and ``neg`` counts per keys and score."""
+    counted = counts.select(*keys, score, (F.col("pos") + F.col("neg")).alias("_n"), F.col("pos").alias("_pos"))
     steps = [i / bins for i in range(1, bins)]
     edges = (
-        exact_quantiles(counted, keys, score, steps, "_n", score_splits(df, score))
+        exact_quantiles(counted, keys, score, steps, "_n")
         .groupBy(*keys)
         .agg(F.collect_list("quantile").alias("_edges"))
     )
