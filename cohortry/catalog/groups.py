@@ -158,7 +158,7 @@ def f1_profile(spark, d):
 
 
 TOKEN_SQL = views.TOKENS + """, placed as (select id, unnest(token_ids) as token from tokens),
-sums as (select id, count_if(token <> 0) as attended, """ + ", ".join(
+sums as (select id, count_if(token <> 0)::bigint as attended, """ + ", ".join(
     f"sum(case when token <> 0 then (token * {k} % 1000 - 500) / 1000.0::double else 0 end) as s{i}" for i, k in enumerate((7, 11, 13, 17))
 ) + """ from placed group by id), means as (select id, attended, """ + ", ".join(
     f"s{i} / greatest(attended, 1) as m{i}" for i in range(4)

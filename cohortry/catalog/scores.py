@@ -22,6 +22,11 @@ def rounded(df, places=6):
     return df.select(*[F.round(c, places).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
+def off_tie(value):
+    """Means of the view's scores can end in an exact half of the last kept digit; move them off it."""
+    return value + 1e-9
+
+
 RANKED = views.PREDICTIONS + """, ranked as (
   select *, rank() over (partition by model, repeat order by probability)
     + (count(*) over (partition by model, repeat, probability) - 1) / 2.0 as rk
@@ -182,7 +187,8 @@ def w3(spark, d):
 
 
 def w4(spark, d):
-    return rounded(metrics.calibration_bins(views.predictions(spark, d), KEYS, Y, P))
+    bins = metrics.calibration_bins(views.predictions(spark, d), KEYS, Y, P)
+    return rounded(bins.withColumn("mean_predicted", off_tie(F.col("mean_predicted"))))
 
 
 def w5(spark, d):
@@ -325,7 +331,7 @@ ENTRIES = {
             "binned as (select p.*, len([x for x in e if x < probability]) as b from predictions p join edges "
             "using (model, repeat)) "
             "select model, repeat, (row_number() over (partition by model, repeat order by b) - 1)::integer as bin, "
-            "round(avg(probability), 6) as mean_predicted, round(avg(outcome), 6) as observed_fraction, "
+            "round(avg(probability) + 1e-9, 6) as mean_predicted, round(avg(outcome), 6) as observed_fraction, "
             "count(*) as rows from binned group by model, repeat, b"),
     "w5_operating_thresholds": (
         w5, f"with {ROC_SQL}, best as (select model, repeat, "

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.metrics import exact_quantiles
 from cohortry.operators.skew import broadcast_checked, join_on
-from cohortry.session import cut_lineage
+from cohortry.session import cut_lineage, ship_package
 
 NEWTON_WIDTH = 300
 PASS_BYTES = 256 << 20
@@ -213,6 +213,7 @@ def _grouped(tasks: dict[int, FitTask]) -> dict[tuple[int, int | None], list[int
 
 def _sum_pass(df: DataFrame, tasks, points, scalings, options: FitOptions, curvature: bool) -> DataFrame:
     """(task, stats): loss, gradient and, with ``curvature``, the packed Hessian of the data term."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((tasks, points, scalings))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -395,6 +396,7 @@ def predict_tasks(df: DataFrame, fitted: list[Fitted], scalings: dict, keep: lis
 
     ``inner`` scores the part a fit left out; ``outer`` scores the outer test rows.
     """
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((fitted, scalings))
     fields = {f.name: f.dataType.simpleString() for f in df.select(*keep).schema}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", outer int, c double, probability double"

@@ -11,7 +11,7 @@ from cohortry.functions.hashing import hash_cell, stable_hash
 from cohortry.operators.metrics import auroc_of_cells
 from cohortry.operators.prefix import CELL, default_cells, numbered, score_splits, single_value_cells, with_score_cells
 from cohortry.operators.skew import join_on, salted_join
-from cohortry.session import cut_lineage
+from cohortry.session import cut_lineage, ship_package
 
 DRAW_BLOCK = 250
 CHUNK_ROWS = 2048
@@ -122,6 +122,7 @@ def resampled_auroc(
     where only sums are needed and are taken by a plain aggregate. What crosses cells is
     one small row per cell and resample.
     """
+    ship_package(counts.sparkSession)
     splits = score_splits(counts, score)
     collapsed = with_score_cells(counts, score, splits)
     draws, groups = _draws(counts, group, resamples, seed)
