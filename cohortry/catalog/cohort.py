@@ -377,6 +377,11 @@ def s2(spark, d):
     return ordering.hash_sample(views.records(spark, d), 0.1, SEED).select("id", "category")
 
 
+def s4(spark, d):
+    """A hash sample of the records under two orders of the input: no row may differ."""
+    return ordering.order_differences(lambda rows: ordering.hash_sample(rows, 0.1, SEED), views.records(spark, d)).select("id")
+
+
 def s5(spark, d):
     out, routine, counts = ordering.review_packets(settled(spark, d), 0.1, SEED, "id", ["id", "absent", "exclusion_code"])
     tag = lambda df, name: df.select("id", "exclusion_code", F.lit(name).alias("packet"))
@@ -497,6 +502,7 @@ ENTRIES = {
     "s2_hash_sample": (
         s2, f"with {views.RECORDS} select id, category from records qualify row_number() over (order by {h(str(SEED), 'id')}, id) "
             "<= greatest(1, ceil(0.1 * (select count(*) from records)))"),
+    "s4_order_differences": (s4, f"with {views.RECORDS} select id from records where false"),
     "s5_review_packets": (
         s5, f"with {CURATED}, eligible as (select * from settled where eligibility), size as (select greatest(1, ceil(0.1 * count(*)))::bigint as n from eligible) "
             "select id, exclusion_code, 'exclusion' as packet from settled where not eligibility union all "

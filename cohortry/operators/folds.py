@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_cell, stable_hash
+from cohortry.operators.contracts import enforce
 from cohortry.operators.prefix import CELL, default_cells, numbered
 from cohortry.operators.skew import salted_join
 
@@ -27,7 +28,7 @@ def group_sizes(df: DataFrame, keys: list[str], group: str, outcome: str) -> Dat
 
 
 def deal_groups(sizes: DataFrame, keys: list[str], group: str, k: int, seed: Column) -> DataFrame:
-    """Fold per keys and group from the group sizes.
+    """Fold per keys and group from the group sizes, which stay beside it.
 
     Groups are dealt in a snake from large to small (by powers of two), within a size from
     mostly positive to mostly negative, and in seeded order within that. The deal numbers
@@ -40,7 +41,7 @@ def deal_groups(sizes: DataFrame, keys: list[str], group: str, k: int, seed: Col
     width = 1 << max(1, (cells - 1).bit_length())
     celled = hashed.withColumn(CELL, F.col("_stratum") * width + hash_cell(F.col("_h"), cells))
     dealt = numbered(celled, keys, [F.col("_stratum"), F.col("_h"), F.col(group)])
-    return dealt.select(*keys, group, snake(F.col("row_no") - 1, k).alias("fold"))
+    return dealt.select(*keys, group, snake(F.col("row_no") - 1, k).alias("fold"), "_n", "_pos")
 
 
 def repeated(df: DataFrame, repeats: int, name: str = "repeat") -> DataFrame:
@@ -48,14 +49,25 @@ def repeated(df: DataFrame, repeats: int, name: str = "repeat") -> DataFrame:
 
 
 def stratified_group_folds(
-    df: DataFrame, k: int, seeds: list[int], group: str = "group_id", outcome: str = "outcome", id: str = "id"
+    df: DataFrame,
+    k: int,
+    seeds: list[int],
+    group: str = "group_id",
+    outcome: str = "outcome",
+    id: str = "id",
+    check: bool = True,
 ) -> DataFrame:
-    """Fold of each row and repeat, one repeat per seed: (id, group, repeat, fold). Groups stay whole."""
+    """Fold of each row and repeat, one repeat per seed: (id, group, repeat, fold). Groups stay whole.
+
+    A fold without both outcome classes is an error; it is looked for in the group table.
+    """
     rows = repeated(df.select(id, group, outcome), len(seeds))
     # sizes do not depend on the repeat, so groups are counted once and dealt per repeat
     sizes = group_sizes(df, [], group, outcome)
     deals = deal_groups(repeated(sizes, len(seeds)), ["repeat"], group, k, seed_column(seeds))
-    return salted_join(rows, deals, ["repeat", group], F.col(id)).select(id, group, outcome, "repeat", "fold")
+    if check:
+        enforce(dealt_violations(deals, ["repeat"], k), "folds need both outcome classes")
+    return salted_join(rows, deals.drop("_n", "_pos"), ["repeat", group], F.col(id)).select(id, group, outcome, "repeat", "fold")
 
 
 def stratified_folds(
@@ -68,14 +80,25 @@ def stratified_folds(
     return placed.select(id, group, outcome, "repeat", ((F.col("row_no") - 1) % k).cast("int").alias("fold"))
 
 
-def fold_violations(folds: DataFrame, keys: list[str], k: int, fold: str = "fold", outcome: str = "outcome") -> DataFrame:
-    """Folds that lack an outcome class, and keys that do not fill all k folds."""
-    per_fold = folds.groupBy(*keys, fold).agg((F.min(outcome) == F.max(outcome)).alias("_one"))
+def dealt_violations(deals: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The problems ``fold_violations`` finds, read off dealt groups instead of rows."""
+    per_fold = deals.groupBy(*keys, "fold").agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"))
+    per_fold = per_fold.withColumn("_one", (F.col("_pos") == 0) | (F.col("_pos") == F.col("_n")))
+    return _fold_problems(per_fold, keys, k, "fold")
+
+
+def _fold_problems(per_fold: DataFrame, keys: list[str], k: int, fold: str) -> DataFrame:
     one_class = per_fold.where("_one").select(*keys, F.col(fold), F.lit("one_class").alias("problem"))
     short = per_fold.groupBy(*keys).agg(F.count(F.lit(1)).alias("_f")).where(F.col("_f") != k)
     return one_class.unionByName(short.select(*keys, F.lit(None).cast("int").alias(fold), F.lit("empty_folds").alias("problem")))
 
 
+def fold_violations(folds: DataFrame, keys: list[str], k: int, fold: str = "fold", outcome: str = "outcome") -> DataFrame:
+    """Folds that lack an outcome class, and keys that do not fill all k folds."""
+    per_fold = folds.groupBy(*keys, fold).agg((F.min(outcome) == F.max(outcome)).alias("_one"))
+    return _fold_problems(per_fold, keys, k, fold)
+
+
 def fold_profile(folds: DataFrame, keys: list[str], fold: str = "fold", outcome: str = "outcome") -> DataFrame:
     """Rows and positives per fold."""
     return folds.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("rows"), F.sum(outcome).alias("positives"))

@@ -111,8 +111,12 @@ def running_share(counts: DataFrame, rows: str, order: list[str]) -> DataFrame:
     ).drop("_upto", "_upto_total", CELL)
 
 
-def assert_order_invariant(operator, df: DataFrame, id: str = "id", partitions: int = 7) -> None:
-    """Run an operator on the input as it is and on a reshuffled copy; both must give the same rows."""
+def order_differences(operator, df: DataFrame, id: str = "id", partitions: int = 7) -> DataFrame:
+    """Rows an operator gives for the input as it is or for a reshuffled copy, but not for both."""
     first = operator(df)
     second = operator(df.repartition(partitions, F.xxhash64(id)).sortWithinPartitions(F.col(id).desc()))
-    enforce(first.exceptAll(second).unionByName(second.exceptAll(first)), "result depends on input order")
+    return first.exceptAll(second).unionByName(second.exceptAll(first))
+
+
+def assert_order_invariant(operator, df: DataFrame, id: str = "id", partitions: int = 7) -> None:
+    enforce(order_differences(operator, df, id, partitions), "result depends on input order")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.text import fold, same_name, without_suffix
 from cohortry.operators.skew import join_on, salted_join
 
+# How a record was found and chosen.
 EXACT = "exact-name"
 FALLBACK = "salt-suffix-fallback"
 BY_TITLE = "exact-title-among-candidates"

@@ -247,3 +247,32 @@ def test_write_with_summary(spark, tmp_path):
     summary = sinks.write_with_summary(df, str(tmp_path / "t"), "label")
     assert summary == {"rows": 3, "missing_labels": 1}
     assert {r["rows"] for r in spark.read.json(str(tmp_path / "t.summary")).collect()} == {2, 1}
+
+
+def test_held_out_ids_against_the_declared_set(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    held = contracts.held_out_ids(ids("a", "b", "c", "x"), ids("a", "b", "c", "y"), ids("a"))
+    assert {r["id"] for r in held.collect()} == {"b", "c"}
+    assert contracts.set_diff(held, ids("b", "c")).count() == 0
+    assert {tuple(r) for r in contracts.set_diff(held, ids("b", "d")).collect()} == {("c", "left"), ("d", "right")}
+
+
+def test_reconciliation(spark):
+    ids = lambda *names: spark.createDataFrame([(n,) for n in names], "id string")
+    assert contracts.reconcile(ids("a", "b"), ids("a"), ids("b")).count() == 0
+    found = contracts.reconcile(ids("a", "b", "c"), ids("a", "b", "z"), ids("b"))
+    assert {tuple(r) for r in found.collect()} == {("b", "both_outcomes"), ("c", "no_outcome"), ("z", "not_requested")}
+
+
+def test_lineage_conflicts(spark):
+    rows = [("r1", "seed", "1"), ("r2", "seed", "1"), ("r1", "model", "a"), ("r2", "model", "b"), ("r1", "only", "x")]
+    df = spark.createDataFrame(rows, "run string, field string, value string")
+    assert {r["field"] for r in contracts.lineage_conflicts(df).collect()} == {"model", "only"}
+
+
+def test_review_packets(spark):
+    df = spark.range(50).select("id", (F.col("id") % 5 != 0).alias("eligibility"), F.lit("c").alias("code"))
+    out, routine, counts = ordering.review_packets(df, 0.1, 3, columns=["id", "gone", "code"])
+    assert (out.count(), routine.count(), out.columns) == (10, 4, ["id", "code"])
+    row = counts.first()
+    assert (row["exclusion_rows"], row["inclusion_population"], row["sample_rows"]) == (10, 40, 4)

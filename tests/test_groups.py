@@ -108,7 +108,9 @@ def test_folds_keep_groups_and_classes(spark):
 
 def test_one_class_folds_are_reported(spark):
     df = spark.createDataFrame([(i, f"g{i}", int(i < 2)) for i in range(20)], "id int, group_id string, outcome int")
-    dealt = folds.stratified_group_folds(df, 5, [1])
+    with pytest.raises(ContractError):
+        folds.stratified_group_folds(df, 5, [1])
+    dealt = folds.stratified_group_folds(df, 5, [1], check=False)
     assert folds.fold_violations(dealt, ["repeat"], 5).where("problem = 'one_class'").count() == 3
 
 

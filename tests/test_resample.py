@@ -97,3 +97,16 @@ def test_one_class_resamples_give_no_row(spark):
 def test_draws_do_not_depend_on_input_order(spark):
     _, df = predictions(spark, n=40)
     assert_order_invariant(lambda d: resample.group_draws(d, "group_id", 5, 1), df)
+
+
+def test_a_single_group_gives_the_point_estimate_every_time(spark):
+    rows, df = predictions(spark, n=30, hot_group=1.0)
+    got = resample.cluster_bootstrap(df, "group_id", "model", "outcome", "probability", 5, 1).collect()
+    point = brute_deltas(rows, {(0, "hot"): 1}, 1)[0]
+    assert [r["delta"] for r in got] == pytest.approx([point] * 5, abs=1e-12)
+
+
+def test_interval_of_the_draws(spark):
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.arange(41))], "resample int, delta double")
+    row = resample.percentile_interval(df, []).first()
+    assert (row["ci_lower"], row["ci_upper"], row["successful"]) == (1.0, 39.0, 41)
