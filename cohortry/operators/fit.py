@@ -360,7 +360,8 @@ def _fit_gradient(df: DataFrame, tasks: dict[int, FitTask], scalings, width: int
                 gradient = c * found[n][1:] + penalty * point
                 s["steps"] += 1
                 s.setdefault("first", max(float(np.linalg.norm(gradient)), 1e-300))
-                good = "point" not in s or value <= s["value"] - 1e-4 * s["length"] * float(s["gradient"] @ s["direction"])
+                fall = 1e-4 * s["length"] * float(s["gradient"] @ s["direction"]) if "point" in s else 0.0
+                good = "point" not in s or value <= s["value"] - fall
                 if good:
                     if "point" in s:
                         ds, dg = point - s["point"], gradient - s["gradient"]

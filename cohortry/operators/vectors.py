@@ -156,7 +156,8 @@ def coverage_report(
 
 def vector_summary(df: DataFrame, vec: str = "vec", token_count: str | None = None) -> DataFrame:
     """Dimension, range of lengths and token counts, number of vectors."""
-    sized = df.select(F.size(vec).alias("_d"), norm(F.col(vec)).alias("_n"), (F.col(token_count) if token_count else F.lit(None).cast("bigint")).alias("_t"))
+    tokens = F.col(token_count) if token_count else F.lit(None).cast("bigint")
+    sized = df.select(F.size(vec).alias("_d"), norm(F.col(vec)).alias("_n"), tokens.alias("_t"))
     return sized.agg(
         F.max("_d").alias("dimension"),
         (F.min("_d") == F.max("_d")).alias("one_dimension"),

@@ -91,7 +91,9 @@ def inner_parts(folds: DataFrame, spec: AnalysisSpec) -> DataFrame:
     return maps.select("split_group", F.transform(outers, lambda o: F.coalesce(F.col("_m")[o], F.lit(-1))).alias("parts"))
 
 
-def pick_regularisation(candidates: DataFrame, keys: list[str], c: str = "c", score: str = "inner_auroc", margin: float = 1e-12) -> DataFrame:
+def pick_regularisation(
+    candidates: DataFrame, keys: list[str], c: str = "c", score: str = "inner_auroc", margin: float = 1e-12
+) -> DataFrame:
     """Walk C upwards and move only to a score better by more than ``margin``."""
     ordered = F.sort_array(F.collect_list(F.struct(F.col(c).alias("c"), F.coalesce(score, F.lit(float("-inf"))).alias("s"))))
     start = F.struct(F.lit(None).cast("double").alias("c"), F.lit(float("-inf")).alias("s"))
