@@ -309,7 +309,9 @@ def _fit_newton(df: DataFrame, tasks: dict[int, FitTask], scalings, width: int,
                 value, size, direction = found[n]
                 first.setdefault(n, max(size, 1e-300))
                 steps[n] += 1
-                if size <= options.tolerance * first[n]:
+                # at the limit of precision a step no longer moves the point
+                still = np.linalg.norm(direction) <= 1e-13 * (1.0 + np.linalg.norm(points[n]))
+                if size <= options.tolerance * first[n] or still:
                     fitted[n] = Fitted(tasks[n], points[n], steps[n], True)
                     continue
                 if n in accepted and value > accepted[n][0] + 1e-10 * abs(accepted[n][0]):
