@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import line_dedup, mixing
+from cohortry.llm import decontaminate, line_dedup, mixing, token_output
 from cohortry.llm.shared import table
 
 
@@ -22,8 +22,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = token_output.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_output.read_tokens(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op4_decontaminate": op4_decontaminate,
+    "op9_token_output": op9_token_output,
 }
-SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL}
+SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_decontaminate": decontaminate.SQL}
