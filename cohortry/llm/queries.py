@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, line_dedup, mixing, token_output
-from cohortry.llm.shared import table
+from cohortry.llm import decontaminate, language_id, line_dedup, mixing, token_output, toxicity
+from cohortry.llm.shared import remainder, table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(language_id.learnable(docs))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -31,6 +39,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.TARGET).cast("int").alias("predicted"),
+    )
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +60,9 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op9_token_output": op9_token_output,
 }
 SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_decontaminate": decontaminate.SQL}
