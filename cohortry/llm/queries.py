@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, language_id, line_dedup, mixing, token_output, toxicity
+from cohortry.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -50,6 +50,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents")).drop("n_rows")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +67,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_token_output": op9_token_output,
 }
-SQL: dict[str, str] = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {
+    "op1_source_mixing": mixing.SQL,
+    "op2_line_dedup": line_dedup.SQL,
+    "op4_decontaminate": decontaminate.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
+}
