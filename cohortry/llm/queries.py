@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, token_output, toxicity
+from cohortry.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -54,6 +54,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents")).drop("n_rows")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_output": op9_token_output,
 }
 SQL: dict[str, str] = {
@@ -75,4 +80,5 @@ SQL: dict[str, str] = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
+    "op8_embedding_dedup": embedding_dedup.SQL,
 }
