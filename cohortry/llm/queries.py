@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, token_output, toxicity
+from cohortry.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -65,6 +65,10 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_output": op9_token_output,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": mixing.SQL,
