@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_output, toxicity
+from cohortry.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -54,6 +54,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar(table(spark, sf_dir, "documents")).drop("n_rows")
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_html_extract": op7_html_extract,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
