@@ -284,7 +284,7 @@ def near_duplicates(vectors: DataFrame, spec: CoverSpec = CoverSpec()) -> DataFr
 SQL = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.95

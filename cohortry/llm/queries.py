@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortry.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
@@ -85,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
     "op1_source_mixing": mixing.SQL,
@@ -92,4 +94,4 @@ SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_embedding_dedup": embedding_dedup.SQL,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
