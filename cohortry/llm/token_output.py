@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,10 +28,19 @@ CHECKPOINT = 256
 BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
-CACHED_PIECES = 300_000
+CACHED_PIECES = 800_000
+JOINED = 4_000
+MARKS = ".,;:!?"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: visible ones as themselves, the others from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 0x100 + i for i, b in enumerate(rest)}
+
+
 class Pieces(dict):
     """Ids of text pieces as bytes, encoded once and kept up to a bound."""
 
@@ -50,7 +60,9 @@ class Encoder:
 
     A byte-level tokenizer with the usual pattern never lets a piece run on into white
     space, so a text can be cut before every run of white space and equal cuts encoded
-    once. Other tokenizers, and texts that hold an added token, are encoded whole.
+    once, also across batches. New cuts of a batch are encoded together, a few thousand in one string: each
+    starts with a blank, which only the first of its ids stands for. Other tokenizers, and
+    texts that hold an added token, are encoded whole.
     """
 
     def __init__(self, spec: str, kind: str):
@@ -64,22 +76,100 @@ class Encoder:
             plain.get("normalizer") is None and before.get("type") == "ByteLevel"
             and not before.get("add_prefix_space") and before.get("use_regex", True)
         )
-        added = [re.escape(t["content"]) for t in plain.get("added_tokens", [])]
-        self.added = re.compile("|".join(added)) if added else None
-        self.first, self.later, self.runs = (Pieces(self.whole, p) for p in ("", " ", ""))
-        self.touching = re.compile(f"[{SPACES}] ")
+        self.added = [t["content"] for t in plain.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.first, self.later, self.runs = Pieces(self.head, ""), Pieces(self.whole, " "), Pieces(self.whole, "")
+        blank = "\u0120"  # how byte-level vocabularies write the blank
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(blank)]] = True
+        self.each = [np.asarray([i], dtype=kind).tobytes() for i in range(len(self.starts))]
+        self.letters = byte_letters()
+        self.touching = f"[{SPACES}] |^ "
         self.before_run = re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])")
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if not self.cuts or (self.added and self.added.search(text)):
+        return self._ids(text).tobytes()
+
+    def head(self, piece: str) -> bytes:
+        return self._letters("", piece) if piece.isalpha() else self.whole(piece)
+
+    def _letters(self, blank: str, piece: str) -> bytes:
+        """Letters alone, after a blank or not, are one piece, which the model takes as it is."""
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.each[t.id] for t in self.model.tokenize(blank + piece)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new cuts together and keep them.
+
+        A mark after a letter is a piece of its own, so a cut with one is its stem and the mark.
+        """
+        if len(self.later) + len(pieces) > CACHED_PIECES:
+            self.later.clear()
+        marked = [p for p in pieces if p[-1] in MARKS and p[-2:-1].isalpha()]
+        stems = {p[:-1] for p in marked} - self.later.keys()
+        self._learn([p for p in pieces if not (p[-1] in MARKS and p[-2:-1].isalpha())] + list(stems))
+        later, alone = self.later, self.runs
+        self.later.update([(p, later[p[:-1]] + alone[p[-1]]) for p in marked])
+
+    def _learn(self, pieces: list[str]) -> None:
+        """A cut of letters alone is one piece, which the model can take at once; others are joined."""
+        self.later.update([(p, self._letters("\u0120", p)) for p in pieces if p.isalpha()])
+        width, pieces = np.dtype(self.kind).itemsize, [p for p in pieces if not p.isalpha()]
+        for a in range(0, len(pieces), JOINED):
+            part = pieces[a : a + JOINED]
+            ids = self._ids(" " + " ".join(part))
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(cuts) != len(part) or cuts[0] != 0:
+                continue  # encoded one by one when they are looked up
+            raw, cuts = ids.tobytes(), [*(cuts * width).tolist(), len(ids) * width]
+            self.later.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])]))
+
+    def __call__(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Ids of every text and ``end``, as bytes. Equal cuts of the batch are looked up once."""
+        hard = np.ones(len(texts), bool)
+        if self.cuts:
+            tests = [pc.match_substring_regex(texts, self.touching), *(pc.match_substring(texts, t) for t in self.added)]
+            hard = np.any([np.asarray(t) for t in tests], axis=0)
+        whole = [self._by_runs(t) + end for t in texts.filter(pa.array(hard)).to_pylist()]
+        easy = self._by_words(texts.filter(pa.array(~hard)), end) if not hard.all() else pa.array([], pa.binary())
+        places = np.argsort(np.concatenate([np.flatnonzero(~hard), np.flatnonzero(hard)]), kind="stable")
+        return pa.concat_arrays([easy, pa.array(whole, pa.binary())]).take(pa.array(places))
+
+    def _by_runs(self, text: str) -> bytes:
+        if not self.cuts or any(t in text for t in self.added):
             return self.whole(text)
-        if self.touching.search(text):
-            return b"".join(map(self.runs.__getitem__, self.before_run.split(text)))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+        return b"".join(map(self.runs.__getitem__, self.before_run.split(text)))
+
+    def _by_words(self, texts: pa.Array, end: bytes) -> pa.Array:
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        found = list(map(self.later.get, words))
+        missing = [k for k, v in enumerate(found) if v is None]
+        if missing:
+            self.learn([words[k] for k in missing if words[k]])
+            for k in missing:
+                found[k] = self.later[words[k]]
+        starts = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
+        counts = np.diff(np.asarray(parts.offsets))
+        found += [self.first[words[c]] for c in codes[starts].tolist()] + [end]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // len(end)
+        at = np.cumsum(sizes) - sizes
+        doc = np.arange(len(texts))
+        piece = np.empty(len(codes) + len(texts), np.int64)
+        piece[np.arange(len(codes)) + np.repeat(doc, counts)] = codes
+        piece[starts + doc] = len(words) + doc
+        piece[starts + counts + doc] = len(found) - 1
+        length = sizes[piece]
+        reach = np.cumsum(length)
+        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(at[piece] - reach + length, length) + np.arange(reach[-1])]
+        cuts = np.r_[0, reach[starts + counts + doc]] * len(end)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids.tobytes())])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -101,8 +191,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoders.get(number) or _encoders.setdefault(number, Encoder(sent.value, kind))
         for batch in portions(batches, 1, 8_000_000):
-            ids = [encode(t or "") + end for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = encode(batch.column(1).fill_null(""), end)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return in_tasks(spread_rows(docs.select("doc_id", text), "doc_id"), task, "doc_id bigint, ids binary")
 
