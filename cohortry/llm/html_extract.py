@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortry.llm.labelled_pages import PAGES
-from cohortry.llm.shared import in_tasks, portions, spread_rows
+from cohortry.llm.shared import in_tasks, portions, spread_rows, with_fields
 
 # Kinds of elements in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,7 +237,7 @@ def extract(pages: DataFrame, model: PageModel | None = None) -> DataFrame:
     model = model or fit(PAGES)
     pages = pages.drop("text", "n_chars")
     at = pages.columns.index("html")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema] + ["text string, n_chars bigint"])
+    schema = with_fields(pages, "text string, n_chars bigint")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, at, 8_000_000):

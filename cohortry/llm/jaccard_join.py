@@ -280,9 +280,10 @@ def dedup(docs: DataFrame, spec: ForestSpec = ForestSpec()) -> DataFrame:
     marks = found.where("doc_id is not null and (not kept or n_rows > 1)").select(
         F.col("doc_id").alias("_id"), F.col("kept").alias("_kept")
     )
-    marked = docs.join(marks, docs["doc_id"] == marks["_id"], "left").where("_kept is null or _kept").drop("_id")
-    once = marked.where("_kept is null").drop("_kept")
-    repeated = marked.where("_kept").drop("_kept").dropDuplicates(["doc_id", "text"])
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    marked = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").where("_kept is null or _kept")
+    once = marked.where("_kept is null").select("_row.*")
+    repeated = marked.where("_kept").dropDuplicates(["doc_id", "text"]).select("_row.*")
     return once.unionByName(repeated)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.shared import in_tasks, portions, remainder, spread_rows
+from cohortry.llm.shared import in_tasks, portions, remainder, spread_rows, with_fields
 
 BUCKETS = 2**13
 ROWS = 128
@@ -153,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, spec: LanguageSpec =
     docs = docs.drop("lang_pred", "score", "ambiguous")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string, score double, ambiguous boolean"])
+    schema = with_fields(docs, "lang_pred string, score double, ambiguous boolean")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

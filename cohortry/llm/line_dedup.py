@@ -71,19 +71,21 @@ def dedup_lines(docs: DataFrame, documents: int = 2, least: int = 10) -> DataFra
         .agg(F.collect_set("pos").alias("_drop"))
         .withColumnRenamed("_id", "_did").withColumnRenamed("_hash", "_dhash")
     )
-    rows = docs.drop("kept", "n_lines", "n_dropped").withColumns({
-        "_id": F.coalesce(F.col("doc_id"), F.lit(NO_ID)),
-        "_hash": F.xxhash64("text"),
-        "_split": F.split(F.coalesce("text", F.lit("")), "\n"),
-    })
+    others = [c for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")]
+    rows = docs.select(
+        F.struct(*others).alias("_row"), F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash"),
+        F.split(F.coalesce("text", F.lit("")), "\n").alias("_split"),
+    )
     joined = rows.join(drops, (rows["_id"] == drops["_did"]) & (rows["_hash"] == drops["_dhash"]), "left")
     keep = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_drop")
     text = F.array_join(F.transform(keep, lambda i: F.get(F.col("_split"), i)), "\n")
-    return joined.withColumns({
-        "kept": F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(text),
-        "n_lines": F.size("_split").cast("bigint"),
-        "n_dropped": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("bigint"),
-    }).drop("_id", "_hash", "_did", "_dhash", "_drop", "_split")
+    found = joined.select(
+        "_row",
+        F.when(F.col("_drop").isNull(), F.coalesce("_row.text", F.lit(""))).otherwise(text).alias("kept"),
+        F.size("_split").cast("bigint").alias("n_lines"),
+        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("bigint").alias("n_dropped"),
+    )
+    return found.select("_row.*", "kept", "n_lines", "n_dropped")
 
 
 SQL = """

@@ -174,8 +174,10 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     )
     plan = written(join_on(plan, last, ["_source"], "left")).select("_source", "_full", "_last")
 
-    rows = docs.drop("epoch", "block", "place").withColumn("_source", F.col("source")).withColumn(
-        "_block", _hash(F.lit(spec.seed), F.col("doc_id")).substr(1, spec.block_digits)
+    kept = [c for c in docs.columns if c not in ("epoch", "block", "place")]
+    rows = docs.select(
+        F.struct(*kept).alias("_row"), "doc_id", F.col("source").alias("_source"),
+        _hash(F.lit(spec.seed), F.col("doc_id")).substr(1, spec.block_digits).alias("_block"),
     )
     place = lambda e: F.concat(_block_place(spec, e), _doc_place(spec, e))
     planned = join_on(rows, F.broadcast(plan), ["_source"]) if is_small(plan, SMALL_SOURCES) else salted_join(
@@ -183,9 +185,8 @@ def mix(docs: DataFrame, spec: MixSpec = MixSpec()) -> DataFrame:
     )
     taken = planned.withColumn("_copies", F.col("_full") + F.when(place(F.col("_full") + 1) <= F.col("_last"), 1).otherwise(0))
     copies = taken.where("_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.withColumns({"block": F.col("_block"), "place": place(F.col("epoch"))}).drop(
-        "_source", "_block", "_full", "_last", "_copies"
-    )
+    found = copies.select("_row", "epoch", F.col("_block").alias("block"), place(F.col("epoch")).alias("place"))
+    return found.select("_row.*", "epoch", "block", "place")
 
 
 SQL = """

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortry.session import ship_package
 
@@ -41,12 +42,17 @@ def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_tasks(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_tasks(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(task, schema)
 
 
+def with_fields(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` and further fields, whatever its columns are called."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def portions(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of ``column`` in a portion hold about ``limit`` bytes; no row is left out."""
     for batch in batches:
