@@ -79,8 +79,14 @@ long as (unpivot bundle on auroc, pr_auroc, brier, sensitivity, specificity, pre
   into name metric value value)"""
 
 
-def newton_sql(steps: int = 8) -> str:
-    """CTEs ``n0`` .. ``n<steps>`` that walk to the calibration line of the prediction view."""
+NEWTON = 20
+
+
+def newton_sql(steps: int = NEWTON) -> str:
+    """CTEs ``n0`` .. ``n<steps>`` that walk to the calibration line of the prediction view.
+
+    Plain Newton steps; the view's scores need about six to stand still.
+    """
     ctes = [
         """base as materialized (select model, repeat, outcome::double as y, ln(q / (1 - q)) as x from (
     select *, greatest(least(probability, 1 - 1e-6), 1e-6) as q from predictions))""",
@@ -100,7 +106,7 @@ def newton_sql(steps: int = 8) -> str:
 NINE = QUARTET.split("bundle as (")[0] + newton_sql() + """,
 bundle as (select aurocs.*, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy,
     a as calibration_intercept, b as calibration_slope
-  from aurocs join aps using (model, repeat) join rates using (model, repeat) join n8 using (model, repeat)),
+  from aurocs join aps using (model, repeat) join rates using (model, repeat) join """ + f"n{NEWTON}" + """ using (model, repeat)),
 long as (unpivot bundle on auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy,
   calibration_intercept, calibration_slope into name metric value value)"""
 
@@ -170,6 +176,13 @@ def x5(spark, d):
     return rounded(metrics.calibration_fit(views.predictions(spark, d), KEYS, Y, P))
 
 
+def x5_extreme(spark: SparkSession, d: str) -> DataFrame:
+    """Scores so far out that plain Newton steps from the identity line run away; two scores have a line in closed form."""
+    extreme = views.predictions(spark, d).withColumn("probability", F.when(F.col(P) >= 0.5, 1 - 1e-5).otherwise(1e-5))
+    line = metrics.calibration_fit(extreme, ["model"], Y, P)
+    return line.withColumns({c: F.round(c, 5) for c in ("calibration_intercept", "calibration_slope")})
+
+
 def x6(spark, d):
     return rounded(metrics.evaluate(views.predictions(spark, d), KEYS, Y, P, "youden_threshold"))
 
@@ -313,7 +326,13 @@ ENTRIES = {
             "round(balanced_accuracy, 6) as balanced_accuracy from rates"),
     "x5_calibration_fit": (
         x5, f"with {views.PREDICTIONS}, {newton_sql()} select model, repeat, round(a, 6) as calibration_intercept, "
-            "round(b, 6) as calibration_slope from n8"),
+            f"round(b, 6) as calibration_slope, true as calibration_converged from n{NEWTON}"),
+    "x5_extreme_calibration": (
+        x5_extreme, f"""with {views.PREDICTIONS}, two as (select model, probability >= 0.5 as high, avg(outcome) as p from predictions group by all),
+ends as (select model, ln(max(p) filter (high) / (1 - max(p) filter (high))) as up,
+  ln(max(p) filter (not high) / (1 - max(p) filter (not high))) as down from two group by model),
+line as (select model, (up - down) / (2 * ln((1 - 1e-5) / 1e-5)) as b, (up + down) / 2 as a from ends)
+select model, round(a, 5) as calibration_intercept, round(b, 5) as calibration_slope, true as calibration_converged from line"""),
     "x6_metric_bundle": (x6, f"with {NINE} select model, repeat, {ROUNDED} from bundle"),
     "w1_average_rank": (
         w1, f"with {views.PREDICTIONS} select model, repeat, id, probability, rank() over (partition by model, repeat order by probability) "

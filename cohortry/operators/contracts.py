@@ -7,11 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.functions.hashing import hash_cell, stable_hash
+from cohortry.functions.hashing import HEX_DIGITS
 from cohortry.operators.skew import join_on, salted_join, whole_row
 
-DIGEST_LEAF = 100_000
-
 
 class ContractError(ValueError):
     """A table broke its contract."""
@@ -275,24 +273,19 @@ def estimation_violations(
     return rows.unionByName(repeated).unionByName(unpaired).where("violations > 0")
 
 
-def id_digest(df: DataFrame, key: str = "id", leaf: int = DIGEST_LEAF) -> DataFrame:
-    """SHA-256 of the sorted ids joined by newlines, and their number; order never matters.
+def id_digest(df: DataFrame, key: str = "id") -> DataFrame:
+    """A digest of the set of distinct ids, and their number; order and repeats never matter.
 
-    Sets above ``leaf`` ids get a digest of bucket digests instead, so that no task
-    ever joins more than about ``leaf`` ids. Compare digests made with the same leaf.
+    The SHA-256 of every distinct id is cut into four 60-bit pieces, and each piece is summed
+    over the set. The digest is the SHA-256 of the count and the four sums, joined by colons.
+    Sums come together map-side, so one definition holds for sets of any size.
     """
     ids = df.select(F.col(key).cast("string").alias("_id")).where("_id is not null").distinct()
-    size = ids.count()
-    digest = lambda column: F.sha2(F.array_join(F.sort_array(F.collect_list(column)), "\n"), 256)
-    bits = max(0, (-(-2 * size // leaf) - 1).bit_length()) if size > leaf else 0
-    bucket = hash_cell(stable_hash("_id"), 1 << bits) if bits else F.lit(0).cast("bigint")
-    level = ids.withColumn("_bucket", bucket).groupBy("_bucket").agg(digest("_id").alias("_id"))
-    while bits:
-        # digests of up to 1024 neighbouring buckets meet in one digest of the next level
-        step = min(bits, 10)
-        bits -= step
-        level = level.withColumn("_bucket", F.shiftright("_bucket", step)).groupBy("_bucket").agg(digest("_id").alias("_id"))
-    return level.select(F.lit(size).cast("bigint").alias("ids"), F.col("_id").alias("digest"))
+    hashed = ids.select(F.sha2("_id", 256).alias("_h"))
+    piece = lambda i: F.conv(F.substring("_h", 1 + i * HEX_DIGITS, HEX_DIGITS), 16, 10).cast("decimal(20,0)")
+    sums = hashed.agg(F.count(F.lit(1)).alias("ids"), *[F.coalesce(F.sum(piece(i)), F.lit(0)).alias(f"_s{i}") for i in range(4)])
+    text = F.concat_ws(":", F.col("ids").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(4)])
+    return sums.select("ids", F.sha2(text, 256).alias("digest"))
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:

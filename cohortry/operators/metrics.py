@@ -6,6 +6,8 @@ score shared by a large part of the rows is summed map-side and costs one row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,63 +177,98 @@ def confusion_rates(df: DataFrame, keys: list[str], y: str, score: str, threshol
     return df.groupBy(*keys).agg(*[value.alias(name) for name, value in rates.items()])
 
 
-def calibration_fit(
-    df: DataFrame, keys: list[str], y: str, score: str, c: float = 1e6, steps: int = 8
-) -> DataFrame:
-    """Intercept and slope of the outcome on the clipped logit, by Newton steps."""
+def calibration_fit(df: DataFrame, keys: list[str], y: str, score: str, c: float = 1e6) -> DataFrame:
+    """Intercept and slope of the outcome on the clipped logit, and whether the fit converged."""
     if not keys:
-        return calibration_fit(df.withColumn("_all", F.lit(0)), ["_all"], y, score, c, steps).drop("_all")
+        return calibration_fit(df.withColumn("_all", F.lit(0)), ["_all"], y, score, c).drop("_all")
     counts = df.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
     )
-    return calibration_of_counts(cut_lineage(counts), keys, score, c, steps)
+    return calibration_of_counts(counts, keys, score, c)
 
 
 def calibration_of_counts(
-    counts: DataFrame, keys: list[str], score: str, c: float = 1e6, steps: int = 8
+    counts: DataFrame, keys: list[str], score: str, c: float = 1e6, most: int = 100, tolerance: float = 1e-9
 ) -> DataFrame:
-    """The calibration line from outcome counts per score.
-
-    The slope carries the penalty slope^2 / (2c). Each step is one grouped aggregate
-    of five sums for all keys at once; only one row per key moves between steps. A
-    step starts from the identity line, where a sound model already is.
+    """The calibration line from outcome counts per score, with ``calibration_converged``.
+
+    Newton steps on the loss with the slope's penalty slope^2 / (2c), from the identity line,
+    where a sound model already is. A step that does not lower the loss is halved. A key is
+    done when its step is below ``tolerance`` of its line; it then takes part no more. A pass
+    is one grouped aggregate for all open keys, and one row per key moves between passes. A
+    key that is not done after ``most`` passes, or has no finite optimum, gets NaN, which no
+    later mean can hide.
     """
-    base = counts.select(
+    base = cut_lineage(counts.select(
         *keys, F.col("pos").cast("double").alias("_y"), (F.col("pos") + F.col("neg")).cast("double").alias("_n"),
         clipped_logit(F.col(score)).alias("_x"),
-    )
+    ))
     few = is_small(base.select(*keys).distinct())
     hot = [] if few else hot_keys(base, keys)
-    current = None
-    for _ in range(steps):
+    carried = ["_a", "_b", "_loss", "_da", "_db", "_scale"]
+    current, done = None, []
+    for _ in range(most):
         if current is None:
-            rows = base.withColumns({"_a": F.lit(0.0), "_b": F.lit(1.0)})
+            start = {"_a": 0.0, "_b": 1.0, "_loss": float("inf"), "_da": 0.0, "_db": 0.0, "_scale": 0.0}
+            rows = base.withColumns({name: F.lit(value) for name, value in start.items()})
         else:
             rows = salted_join(base, F.broadcast(current) if few else current, keys, F.col("_x"), hot=hot)
-        fitted = 1.0 / (1.0 + F.exp(-(F.col("_a") + F.col("_b") * F.col("_x"))))
-        rows = rows.withColumn("_p", fitted).select(
-            *keys, "_x", "_a", "_b",
+        z = (F.col("_a") + F.col("_scale") * F.col("_da")) + (F.col("_b") + F.col("_scale") * F.col("_db")) * F.col("_x")
+        rows = rows.withColumn("_z", z).withColumn("_p", 1.0 / (1.0 + F.exp(-F.col("_z")))).select(
+            *keys, "_x", *carried,
+            (F.col("_n") * (F.greatest(F.col("_z"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z")))) - F.col("_y") * F.col("_z")).alias("_l"),
             (F.col("_n") * F.col("_p") - F.col("_y")).alias("_e"),
             (F.col("_n") * F.col("_p") * (1.0 - F.col("_p"))).alias("_v"),
         )
         sums = rows.groupBy(*keys).agg(
-            F.first("_a").alias("_a"),
-            F.first("_b").alias("_b"),
+            *[F.first(name).alias(name) for name in carried],
+            F.sum("_l").alias("_l"),
             F.sum("_e").alias("_g0"),
             F.sum(F.col("_e") * F.col("_x")).alias("_g1"),
             F.sum("_v").alias("_h00"),
             F.sum(F.col("_v") * F.col("_x")).alias("_h01"),
             F.sum(F.col("_v") * F.col("_x") * F.col("_x")).alias("_h11"),
         )
-        g1 = F.col("_g1") + F.col("_b") / c
-        h11 = F.col("_h11") + 1.0 / c
-        det = F.nullif(F.col("_h00") * h11 - F.col("_h01") * F.col("_h01"), F.lit(0.0))
-        current = sums.select(
+        tried = sums.withColumns({"_ta": F.col("_a") + F.col("_scale") * F.col("_da"), "_tb": F.col("_b") + F.col("_scale") * F.col("_db")})
+        tried = tried.withColumns({
+            "_l": F.col("_l") + F.col("_tb") * F.col("_tb") / (2 * c),
+            "_g1": F.col("_g1") + F.col("_tb") / c,
+            "_h11": F.col("_h11") + 1.0 / c,
+        })
+        det = F.nullif(F.col("_h00") * F.col("_h11") - F.col("_h01") * F.col("_h01"), F.lit(0.0))
+        lower = F.col("_l") <= F.col("_loss") + 1e-12 * F.abs(F.col("_l"))
+        step = {
+            "_na": (F.col("_h01") * F.col("_g1") - F.col("_h11") * F.col("_g0")) / det,
+            "_nb": (F.col("_h01") * F.col("_g0") - F.col("_h00") * F.col("_g1")) / det,
+        }
+        taken = tried.withColumns(step).select(
             *keys,
-            (F.col("_a") - (h11 * F.col("_g0") - F.col("_h01") * g1) / det).alias("_a"),
-            (F.col("_b") - (F.col("_h00") * g1 - F.col("_h01") * F.col("_g0")) / det).alias("_b"),
+            F.when(lower, F.col("_ta")).otherwise(F.col("_a")).alias("_a"),
+            F.when(lower, F.col("_tb")).otherwise(F.col("_b")).alias("_b"),
+            F.when(lower, F.col("_l")).otherwise(F.col("_loss")).alias("_loss"),
+            F.when(lower, F.col("_na")).otherwise(F.col("_da")).alias("_da"),
+            F.when(lower, F.col("_nb")).otherwise(F.col("_db")).alias("_db"),
+            F.when(lower, F.lit(1.0)).otherwise(F.col("_scale") / 2).alias("_scale"),
         )
-    return current.select(*keys, F.col("_a").alias("calibration_intercept"), F.col("_b").alias("calibration_slope"))
+        small = F.col("_scale") * (F.abs("_da") + F.abs("_db")) <= tolerance * (1 + F.abs("_a") + F.abs("_b"))
+        state = F.when(F.col("_da").isNull() | F.col("_db").isNull(), "failed").when(small, "done").otherwise("open")
+        passed = cut_lineage(taken.withColumn("_state", state))
+        states = {r["_state"]: r["count"] for r in passed.groupBy("_state").count().collect()}
+        if set(states) - {"open"}:
+            done.append(passed.where("_state <> 'open'"))
+        current = passed.where("_state = 'open'").drop("_state")
+        if not states.get("open"):
+            break
+    else:
+        done.append(current.withColumn("_state", F.lit("failed")))
+    found = reduce(DataFrame.unionByName, [d.select(*keys, "_a", "_b", "_scale", "_da", "_db", "_state") for d in done]) if done else passed
+    ended, nan = F.col("_state") == "done", F.lit(float("nan"))
+    return found.select(
+        *keys,
+        F.when(ended, F.col("_a") + F.col("_scale") * F.col("_da")).otherwise(nan).alias("calibration_intercept"),
+        F.when(ended, F.col("_b") + F.col("_scale") * F.col("_db")).otherwise(nan).alias("calibration_slope"),
+        ended.alias("calibration_converged"),
+    )
 
 
 def evaluate(df: DataFrame, keys: list[str], y: str, score: str, threshold: str) -> DataFrame:

@@ -187,16 +187,23 @@ def test_groups_reach_the_target(spark):
     assert got[-1]["upto"] >= 25 > got[-1]["upto"] - got[-1]["rows"]
 
 
-def test_digest_ignores_order_and_matches_plain_text(spark):
+def plain_digest(ids):
     import hashlib
 
+    hashes = [hashlib.sha256(i.encode()).hexdigest() for i in set(ids)]
+    sums = [sum(int(h[15 * k : 15 * k + 15], 16) for h in hashes) for k in range(4)]
+    return hashlib.sha256(":".join(map(str, [len(hashes), *sums])).encode()).hexdigest()
+
+
+def test_digest_has_one_definition_for_every_size(spark):
     ids = [f"new-{i}" for i in range(300)]
-    df = spark.createDataFrame([(i,) for i in reversed(ids)], "id string")
-    plain = hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest()
-    assert contracts.id_digest(df).first()["digest"] == plain
-    tree = contracts.id_digest(df, leaf=20).first()["digest"]
-    assert tree != plain and tree == contracts.id_digest(df.orderBy("id"), leaf=20).first()["digest"]
-    assert tree != contracts.id_digest(df.where("id <> 'new-7'"), leaf=20).first()["digest"]
+    df = spark.createDataFrame([(i,) for i in [*reversed(ids), "new-7", None]], "id string")
+    digest = lambda d: contracts.id_digest(d).first()["digest"]
+    assert digest(df) == digest(df.repartition(5)) == plain_digest(ids)
+    assert digest(df.where("id <> 'new-7'")) != digest(df)
+    assert digest(df.limit(0)) == plain_digest([])
+    many = spark.range(120_000).select(F.col("id").cast("string"))
+    assert digest(many) == plain_digest([str(i) for i in range(120_000)])
 
 
 def test_prediction_contract(spark):

@@ -119,20 +119,62 @@ def test_calibration_matches_direct_newton(spark):
     for _ in range(50):
         f = 1 / (1 + np.exp(-x @ b))
         b = b - np.linalg.solve(x.T @ (x * (f * (1 - f))[:, None]) + penalty, x.T @ (f - y) + penalty @ b)
-    got = metrics.calibration_fit(df, [], "y", "p", steps=12).first()
+    got = metrics.calibration_fit(df, [], "y", "p").first()
     assert got["calibration_intercept"] == pytest.approx(b[0], abs=1e-6)
     assert got["calibration_slope"] == pytest.approx(b[1], abs=1e-6)
 
 
+def direct_line(rows, c=1e6):
+    """The penalised optimum by damped Newton steps on all rows."""
+    y = np.array([r[0] for r in rows], float)
+    q = np.clip(np.array([r[1] for r in rows], float), 1e-6, 1 - 1e-6)
+    x = np.column_stack([np.ones(len(q)), np.log(q / (1 - q))])
+    penalty = np.diag([0.0, 1 / c])
+    loss = lambda b: (np.logaddexp(0, x @ b) - y * (x @ b)).sum() + b @ penalty @ b / 2
+    b = np.array([0.0, 1.0])
+    for _ in range(2000):
+        f = 1 / (1 + np.exp(-x @ b))
+        step = np.linalg.solve(x.T @ (x * (f * (1 - f))[:, None]) + penalty, x.T @ (f - y) + penalty @ b)
+        scale = 1.0
+        while loss(b - scale * step) > loss(b) + 1e-12 and scale > 1e-9:
+            scale /= 2
+        b = b - scale * step
+    return b
+
+
+@pytest.mark.parametrize("case", ["far out", "at the ends", "separable", "steep"])
+def test_calibration_of_extreme_scores(spark, case):
+    rng = np.random.default_rng(5)
+    if case in ("far out", "at the ends"):
+        edge = 1e-5 if case == "far out" else 0.0
+        rows = [(int(u ^ (i % 10 < 3)), 1 - edge if u else edge) for i, u in enumerate(rng.random(400) < 0.4)]
+    elif case == "separable":
+        rows = [(int(p > 0.5), float(p)) for p in rng.random(200)]
+    else:
+        rows = [(int(rng.random() < 1 / (1 + np.exp(-8 * np.log(p / (1 - p))))), float(p)) for p in rng.random(300)]
+    got = metrics.calibration_fit(spark.createDataFrame(rows, "y int, p double"), [], "y", "p").first()
+    a, b = direct_line(rows)
+    assert got["calibration_converged"]
+    assert got["calibration_intercept"] == pytest.approx(a, rel=1e-5, abs=1e-6)
+    assert got["calibration_slope"] == pytest.approx(b, rel=1e-5, abs=1e-6)
+
+
+def test_calibration_without_an_optimum_is_reported(spark):
+    df = spark.createDataFrame([("one", 1, 0.3), ("one", 1, 0.6), ("both", 1, 0.7), ("both", 0, 0.6), ("both", 1, 0.4)], "k string, y int, p double")
+    got = {r["k"]: r for r in metrics.calibration_fit(df, ["k"], "y", "p").collect()}
+    assert not got["one"]["calibration_converged"] and math.isnan(got["one"]["calibration_slope"])
+    assert got["both"]["calibration_converged"] and math.isfinite(got["both"]["calibration_slope"])
+
+
 def test_bundle_agrees_with_single_metrics(spark):
     _, df = scored(spark)
     bundle = {r["k"]: r for r in metrics.evaluate(df, ["k"], "y", "p", "t").collect()}
     parts = [
         metrics.auroc(df, ["k"], "y", "p"), metrics.average_precision(df, ["k"], "y", "p"), metrics.brier(df, ["k"], "y", "p"),
-        metrics.confusion_rates(df, ["k"], "y", "p", "t"), metrics.calibration_fit(df, ["k"], "y", "p"),
+        metrics.confusion_rates(df, ["k"], "y", "p", "t"), metrics.calibration_fit(df, ["k"], "y", "p").drop("calibration_converged"),
     ]
     for part in parts:
-        for row in part.collect():
+        for row in part.drop("calibration_converged").collect():
             for name in part.columns[1:]:
                 assert bundle[row["k"]][name] == pytest.approx(row[name], abs=1e-9)
 
