@@ -44,6 +44,30 @@ def sequential_leaders(rows, threshold, hashes):
     return taken
 
 
+@pytest.mark.parametrize("small,large,threshold", [(243, 729, 1 / 3), (1_000, 10_000, 0.1), (1, 3, 1 / 3), (5, 25, 0.2)])
+def test_pairs_at_the_exact_limit(spark, small, large, threshold):
+    rows = [(1, list(range(small))), (2, list(range(large)))]
+    distinct, _ = groups.fingerprints(spark.createDataFrame(rows, "id int, bits array<int>"))
+    assert [(r["a"], r["b"]) for r in groups.tanimoto_pairs(distinct, threshold).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.2, 1 / 3, 0.5])
+def test_nested_sets_at_exact_limits(spark, threshold):
+    sizes = [1, 2, 3, 4, 5, 6, 8, 9, 10, 12, 15, 16, 18, 20, 25, 27, 30, 40, 50, 81, 100]
+    rows = [(n, list(range(n))) for n in sizes]
+    distinct, _ = groups.fingerprints(spark.createDataFrame(rows, "id int, bits array<int>"))
+    got = {(r["a"], r["b"]) for r in groups.tanimoto_pairs(distinct, threshold).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(sizes, 2) if 1 - a / b <= 1 - threshold}
+
+
+def test_common_bits_are_met_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, sorted({0, *rng.sample(range(1, 40), 5)})) for i in range(90)]
+    distinct, _ = groups.fingerprints(spark.createDataFrame(rows, "id int, bits array<int>"))
+    found = [{(r["a"], r["b"]) for r in groups.tanimoto_pairs(distinct, 0.4, block=b).collect()} for b in (4, 1_000)]
+    assert found[0] == found[1] and found[0]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
 def test_pairs_match_brute_force(spark, threshold):
     rng = random.Random(int(threshold * 10))
