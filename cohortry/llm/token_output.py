@@ -28,7 +28,7 @@ CHECKPOINT = 256
 BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
-CACHED_PIECES = 800_000
+CACHED_PIECES = 1_200_000
 JOINED = 4_000
 MARKS = ".,;:!?"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -108,8 +108,6 @@ class Encoder:
 
         A mark after a letter is a piece of its own, so a cut with one is its stem and the mark.
         """
-        if len(self.later) + len(pieces) > CACHED_PIECES:
-            self.later.clear()
         marked = [p for p in pieces if p[-1] in MARKS and p[-2:-1].isalpha()]
         stems = {p[:-1] for p in marked} - self.later.keys()
         self._learn([p for p in pieces if not (p[-1] in MARKS and p[-2:-1].isalpha())] + list(stems))
@@ -152,6 +150,10 @@ class Encoder:
         found = list(map(self.later.get, words))
         missing = [k for k, v in enumerate(found) if v is None]
         if missing:
+            if len(self.later) + len(missing) > CACHED_PIECES:  # go on with what this batch uses
+                kept = {w: v for w, v in zip(words, found) if v is not None}
+                self.later.clear()
+                self.later.update(kept)
             self.learn([words[k] for k in missing if words[k]])
             for k in missing:
                 found[k] = self.later[words[k]]
@@ -175,6 +177,12 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
+def encoder(spec: str, kind: str) -> Encoder:
+    """One encoder, with the cuts it knows, for all tasks of a worker."""
+    number = zlib.crc32(spec.encode())
+    return _encoders.get(number) or _encoders.setdefault(number, Encoder(spec, kind))
+
+
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
     """(doc_id, ids): token ids of every whole text and the end id, as little-endian bytes.
 
@@ -186,11 +194,11 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
     spec = Path(tokenizer).read_text()
     kind = id_kind(max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True) - 1, end_id))
     sent = docs.sparkSession.sparkContext.broadcast(spec)
-    number, end = zlib.crc32(spec.encode()), np.asarray([end_id], dtype=kind).tobytes()
+    end = np.asarray([end_id], dtype=kind).tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoders.get(number) or _encoders.setdefault(number, Encoder(sent.value, kind))
-        for batch in portions(batches, 1, 8_000_000):
+        encode = encoder(sent.value, kind)
+        for batch in portions(batches, 1, 16_000_000):
             ids = encode(batch.column(1).fill_null(""), end)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
