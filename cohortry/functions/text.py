@@ -16,9 +16,14 @@ def literal_pattern(text: str) -> str:
     return SPECIAL.sub(r"\\\1", text)
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def fold(text: Column) -> Column:
-    """Form in which names are compared: trimmed and lower case."""
-    return F.lower(F.trim(text))
+    """Form in which names are compared: trimmed, lower case, and one form of letters that have two small ones."""
+    return F.replace(F.translate(F.lower(trimmed(text)), "\u03c2\u017f", "\u03c3s"), F.lit("\u00df"), F.lit("ss"))
 
 
 def same_name(left: Column, right: Column) -> Column:
@@ -34,8 +39,10 @@ def normalise(value: Column, spellings: dict[str, str]) -> Column:
 
 
 def lenient_int(text: Column) -> Column:
-    """A whole number, or NULL for anything that is not one."""
-    return F.trim(text).try_cast("bigint")
+    """A whole number, also one written as a decimal such as 3.0, or NULL for anything else."""
+    plain, decimal = trimmed(text).try_cast("bigint"), trimmed(text).try_cast("double")
+    whole = (decimal == F.floor(decimal)) & (F.abs(decimal) < 2.0**53)
+    return F.coalesce(plain, F.when(whole, decimal.cast("bigint")))
 
 
 def two_way(value: Column, match: str, then: str, otherwise: str) -> Column:
@@ -51,7 +58,7 @@ def binarise(value: Column, positive: list[str], negative: list[str]) -> Column:
 def without_suffix(name: Column, suffixes: list[str]) -> Column:
     """The trimmed name less one trailing word of the list, in any case; a space must precede it."""
     alternatives = "|".join(literal_pattern(s) for s in suffixes)
-    return F.regexp_replace(F.trim(name), rf"(?i)\s+({alternatives})$", "")
+    return F.regexp_replace(trimmed(name), rf"(?iU)\s+({alternatives})$", "")
 
 
 def first_nonempty(*values: Column) -> Column:

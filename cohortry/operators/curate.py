@@ -127,8 +127,11 @@ def curate(
 
     ``facts`` and ``active_facts`` hold structure facts per id for the exact record and its
     alternative; ``exclusions`` is (id, reason); ``overrides`` is structure facts per id.
+    An id may stand once in each of them; a repeat raises ``ContractError``.
     """
     rules = rules or structure_rules()
+    for table, what in ((exclusions, "exclusions"), (overrides, "overrides"), (facts, "facts"), (active_facts, "alternative facts")):
+        enforce(key_violations(table, [id]).where("problem = 'duplicate'"), f"ids repeat in {what}")
     token_lists = fixed.UNRESOLVED_TOKENS if token_lists is None else token_lists
 
     def decided(source: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def population(df: DataFrame, name: str, category: str = "category", prefixes: d
     if name == "primary":
         return df
     if name not in prefixes:
-        raise ValueError(f"Unknown analysis population: {name}")
+        raise ValueError(f"population must be primary or one of {sorted(prefixes)}, not {name!r}")
     return df.where(reduce(lambda a, b: a | b, [F.col(category).startswith(p) for p in prefixes[name]]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.text import fold, same_name, without_suffix
+from cohortry.functions.text import fold, same_name, trimmed, without_suffix
 from cohortry.operators.skew import salted_join
 
 # How a record was found and chosen.
@@ -17,7 +17,7 @@ ONLY_ONE = "unique-pubchem-name-result"
 
 def name_candidates(df: DataFrame, name: str, suffixes: list[str]) -> DataFrame:
     """Queries to try per row: the trimmed name, then the name less one suffix if that changes it."""
-    exact = F.trim(F.col(name))
+    exact = trimmed(F.col(name))
     stripped = without_suffix(F.col(name), suffixes)
     tries = F.array(
         F.struct(exact.alias("query"), F.lit(EXACT).alias("method")),
@@ -38,11 +38,12 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, key: str, value: str) -> D
 def candidate_rows(queries: DataFrame, candidates: DataFrame, query: str, candidate_query: str) -> DataFrame:
     """Every candidate of every distinct query, in rows; ``key`` is the folded query.
 
-    A name with very many candidates only makes many rows here, never one long list.
+    A name with very many candidates only makes many rows here, never one long list. A NULL
+    name asks for nothing and matches nothing.
     """
-    asked = queries.select(F.trim(F.col(query)).alias("query")).withColumn("key", fold(F.col("query")))
-    asked = asked.groupBy("key").agg(F.min("query").alias("query"))
-    offered = candidates.withColumn("key", fold(F.col(candidate_query)))
+    asked = queries.select(trimmed(F.col(query)).alias("query")).withColumn("key", fold(F.col("query")))
+    asked = asked.where("key is not null").groupBy("key").agg(F.min("query").alias("query"))
+    offered = candidates.withColumn("key", fold(F.col(candidate_query))).where("key is not null")
     return salted_join(offered, asked, ["key"], F.struct(*candidates.columns))
 
 
@@ -93,7 +94,7 @@ def resolve_with_fallback(
     the exact form wins.
     """
     stripped = without_suffix(F.col(name), suffixes)
-    exact_query = F.trim(F.col(name))
+    exact_query = trimmed(F.col(name))
     asked = names.withColumns(
         {
             "_exact_key": fold(F.col(name)),
@@ -108,7 +109,9 @@ def resolve_with_fallback(
         )
 
     joined = salted_join(asked, side("_exact"), ["_exact_key"], F.col(name), "left")
-    joined = salted_join(joined, side("_fallback"), ["_fallback_key"], F.col(name), "left")
+    # names without a second form take no part in the second join
+    second = salted_join(joined.where("_fallback_key is not null"), side("_fallback"), ["_fallback_key"], F.col(name), "left")
+    joined = second.unionByName(joined.where("_fallback_key is null"), allowMissingColumns=True)
     has_exact, has_fallback = F.col(f"_exact_{id}").isNotNull(), F.col(f"_fallback_{id}").isNotNull()
 
     def pick(column: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.operators.contracts import enforce, set_diff
+from cohortry.operators.contracts import enforce, key_violations, set_diff
 from cohortry.operators.skew import join_on
 
 TOLERANCE = 1e-5
@@ -199,9 +199,11 @@ def missing_features(ids: DataFrame, tables: dict[str, DataFrame], blocks: list[
 def assemble_blocks(
     ids: DataFrame, tables: dict[str, DataFrame], blocks: list[Block], id: str = "id", check: bool = True
 ) -> DataFrame:
-    """Concatenate the named blocks per id in the given order. A missing id is an error."""
+    """Concatenate the named blocks per id in the given order. A missing or repeated id is an error."""
     if check:
         enforce(missing_features(ids, tables, blocks, id), "ids without features")
+        for block in blocks:
+            enforce(key_violations(tables[block.name], [id]).where("problem = 'duplicate'"), f"ids repeat in block {block.name}")
     joined = ids
     for block in blocks:
         side = tables[block.name].select(id, F.col("vec").alias(f"_{block.name}"))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.contracts import (
-    ContractError, enforce, grid_gaps, key_violations, modal_choice, pairing_violations, set_diff, validated_join,
+    ContractError, common_complete, enforce, grid_gaps, key_violations, modal_choice, pairing_violations, set_diff, split_groups,
+    validated_join,
 )
 from cohortry.operators.curate import population as keep_population
 from cohortry.operators.fit import (
@@ -47,9 +48,9 @@ class AnalysisSpec:
 
     def __post_init__(self) -> None:
         if self.design not in DESIGNS:
-            raise ValueError(f"Unknown validation design: {self.design}")
+            raise ValueError(f"design must be one of {DESIGNS}, not {self.design!r}")
         if self.weights not in WEIGHTS:
-            raise ValueError(f"Unknown class weight mode: {self.weights}")
+            raise ValueError(f"weights must be one of {WEIGHTS}, not {self.weights!r}")
         if sorted(set(self.grid)) != sorted(self.grid):
             raise ValueError("the grid repeats a value")
 
@@ -163,18 +164,82 @@ def prepare_rows(cohort: DataFrame, folds: DataFrame, spec: AnalysisSpec) -> Dat
     return salted_join(keyed, parts, ["split_group"], F.col("id")).drop("split_group")
 
 
+def fold_violations(cohort: DataFrame, folds: DataFrame, spec: AnalysisSpec) -> DataFrame:
+    """(kind, name, problem) for rows of the population whose folds cannot be used.
+
+    Every id needs each repeat once, with a fold in range; rows that are split together,
+    all of a group or those of one id, need the same fold in a repeat.
+    """
+    kept = keep_population(cohort, spec.population, prefixes=spec.populations)
+    split = "group_id" if spec.design == "scaffold_grouped" else "id"
+    asked = kept.select("id", F.col(split).cast("string").alias("split_group")).distinct()
+    inside = F.col("repeat").between(0, spec.repeats - 1) & F.col("fold").between(0, spec.outer_folds - 1)
+    seen = folds.groupBy("id").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("repeat").alias("_repeats"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("_outside")
+    )
+    joined = join_on(asked.select("id").distinct(), seen, ["id"], "left").fillna(0, ["_n", "_repeats", "_outside"])
+    checks = {
+        "missing": F.col("_repeats") < spec.repeats, "repeated": F.col("_n") > F.col("_repeats"), "outside": F.col("_outside") > 0,
+    }
+    problems = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda p: p.isNotNull())
+    of_ids = joined.select(F.lit("id").alias("kind"), F.col("id").cast("string").alias("name"), F.explode(problems).alias("problem"))
+    placed = salted_join(folds.select("id", "repeat", "fold"), asked, ["id"], F.struct("repeat", "fold"))
+    of_groups = split_groups(placed, "split_group", "repeat", "fold").select(
+        F.lit("group").alias("kind"), F.col("split_group").alias("name"), F.lit("split").alias("problem")
+    ).distinct()
+    return of_ids.unionByName(of_groups)
+
+
+def transport_violations(
+    development: DataFrame, predictions: DataFrame, models: list[str], spec: AnalysisSpec, folds: DataFrame | None = None
+) -> DataFrame:
+    """(kind, name, problem) for development predictions that a transport must not start from.
+
+    They hold exactly the given models, exactly the repeats 0 .. n-1, and exactly the
+    development ids; ``folds``, where given, hold development ids only.
+    """
+    told = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(kind).cast("string").alias("name"), "problem")
+    sets = {"model": models, "repeat": list(range(spec.repeats))}
+    parts = [
+        told(grid_gaps(predictions.select(kind).distinct(), {kind: values}), kind) for kind, values in sets.items()
+    ]
+    seen = predictions.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("model", "repeat").alias("_cells"))
+    known = development.select("id", F.lit(1).alias("_known"))
+    joined = seen.join(known, "id", "full_outer")
+    full = len(models) * spec.repeats
+    checks = {
+        "stranger": F.col("_known").isNull(), "uncovered": F.col("_n").isNull(),
+        "incomplete": F.col("_cells") < full, "repeated": F.col("_n") > F.col("_cells"),
+    }
+    problems = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]), lambda p: p.isNotNull())
+    parts.append(told(joined.select("id", F.explode(problems).alias("problem")), "id"))
+    if folds is not None:
+        strangers = folds.select("id").distinct().join(development.select("id"), "id", "left_anti")
+        parts.append(told(strangers.withColumn("problem", F.lit("fold of a stranger")), "id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def nested_cv(
     cohort: DataFrame,
     folds: DataFrame,
     tables: dict[str, DataFrame],
     models: dict[str, list[Block]],
     spec: AnalysisSpec = AnalysisSpec(),
+    held_out: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold predictions per (id, model, repeat), and the tuning log.
 
     ``cohort`` has (id, group_id, outcome, ...) with more columns carried along; ``tables``
-    maps block names to (id, vec); ``models`` lists the blocks of each model.
+    maps block names to (id, vec); ``models`` lists the blocks of each model. ``held_out``,
+    where given, are exactly the ids with all features that ``cohort`` must not hold.
+    Folds that ``fold_violations`` names, repeated ids and any lost row raise ``ContractError``.
     """
+    enforce(key_violations(cohort, ["id"]), "cohort ids")
+    enforce(fold_violations(cohort, folds, spec), "folds of the cohort")
+    if held_out is not None:
+        features = list(tables.values())
+        apart = common_complete(features[0].select("id"), features[1:]).join(cohort.select("id"), "id", "left_anti").distinct()
+        enforce(set_diff(apart, held_out), "ids held out")
     rows = cut_lineage(prepare_rows(cohort, folds, spec))
     outputs, logs = [], []
     for model, blocks in models.items():
@@ -197,7 +262,8 @@ def nested_cv(
     predictions = reduce(DataFrame.unionByName, outputs).withColumns(splits).drop("outer")
     carried = join_on(predictions, rows.drop("parts"), ["id"])
     result = cut_lineage(carried)
-    expected = rows.count() * spec.repeats * len(models)
+    asked = keep_population(cohort, spec.population, prefixes=spec.populations).count()
+    expected = asked * spec.repeats * len(models)
     if result.count() != expected:
         raise ContractError(f"Expected {expected} predictions, found {result.count()}")
     if {"B", "D"} <= set(models):
@@ -222,11 +288,8 @@ def transport(
     predictions averaged over repeats.
     """
     names = list(models)
-    enforce(set_diff(predictions.select("id").distinct(), development), "development predictions cover other ids")
-    enforce(key_violations(predictions, ["id", "model", "repeat"]), "development prediction keys")
-    rows = development.count()
-    if predictions.count() != rows * len(names) * spec.repeats:
-        raise ContractError("development predictions are not complete")
+    enforce(key_violations(development, ["id"]), "development ids")
+    enforce(transport_violations(development, predictions, names, spec), "development predictions")
     dims = {"model": names, "repeat": list(range(spec.repeats)), "outer_fold": list(range(spec.outer_folds))}
     fits = tuning.select("model", "repeat", "outer_fold", "selected_c").distinct()
     enforce(grid_gaps(fits, dims), "tuning grid")
@@ -236,6 +299,8 @@ def transport(
     averaged = predictions.groupBy("model", "id").agg(F.avg("probability").alias("probability"))
     ordered = validated_join(averaged, development.select("id", "outcome"), ["id"])
     thresholds = F.broadcast(operating_thresholds(ordered, ["model"], "outcome", "probability", spec.sensitivity_target))
+    enforce(key_violations(update, ["id"]), "update ids")
+    enforce(update.select("id").join(development.select("id"), "id", "left_semi"), "update ids are in development")
     shared = [c for c in development.columns if c in update.columns]
     both = development.select(*shared).withColumn("parts", F.array(F.lit(0))).unionByName(
         update.select(*shared).withColumn("parts", F.array(F.lit(-1)))

@@ -283,3 +283,31 @@ def test_review_packets(spark):
     assert (out.count(), routine.count(), out.columns) == (10, 4, ["id", "code"])
     row = counts.first()
     assert (row["exclusion_rows"], row["inclusion_population"], row["sample_rows"]) == (10, 40, 4)
+
+
+def test_names_lose_white_space_of_every_kind(spark):
+    df = spark.createDataFrame([("\tBar Sodium\u00a0",), ("bar\tsodium\n",), (" STRASSE",), ("Stra\u00dfe\u2003",), ("\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2",), (None,)], "name string")
+    folded = [r[0] for r in df.select(text.fold(F.col("name"))).collect()]
+    assert folded == ["bar sodium", "bar\tsodium", "strasse", "strasse", "\u03c3\u03af\u03c3\u03c5\u03c6\u03bf\u03c3", None]
+    stripped = [r[0] for r in df.select(text.without_suffix(F.col("name"), ["sodium"])).collect()]
+    assert stripped[:2] == ["Bar", "bar"]
+    numbers = spark.createDataFrame([("3.0",), (" 4\t",), ("4.5",), ("1e3",), ("x",), ("9007199254740993",), (None,)], "t string")
+    assert [r[0] for r in numbers.select(text.lenient_int(F.col("t"))).collect()] == [3, 4, None, 1000, None, 9007199254740993, None]
+
+
+def test_null_names_meet_nothing(spark):
+    queries = spark.createDataFrame([(None,), ("a\t",)], "query string")
+    candidates = spark.createDataFrame([(None, None, 1), ("A", "a", 2)], "query_name string, title string, candidate_id int")
+    found = resolve.adjudicate_candidates(queries, candidates)
+    assert [r["candidate_id"] for r in found.collect()] == [2]
+    names = spark.createDataFrame([(None,), ("A",), ("a sodium",)], "name string")
+    got = {r["name"]: r["candidate_id"] for r in resolve.resolve_with_fallback(names, found, "name", ["sodium"]).collect()}
+    assert got == {None: None, "A": 2, "a sodium": 2}
+
+
+def test_repeated_manual_rows_are_errors(spark):
+    records = spark.createDataFrame([(1, "a", "resolved")], "id int, name string, identity_status string")
+    reasons = spark.createDataFrame([(1, "X: y"), (1, "X: z")], "id int, reason string")
+    facts = spark.createDataFrame([], "id int")
+    with pytest.raises(ContractError, match="exclusions"):
+        curate.curate(records, facts, facts, reasons, facts)

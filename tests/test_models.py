@@ -234,6 +234,53 @@ def test_transport_checks_before_it_reads_the_update_rows(spark, study):
             cv.transport(study["development"], broken_predictions, broken_tuning, Untouchable(), study["tables"], models, SPEC)
 
 
+def test_transport_names_what_is_wrong(spark, study):
+    both = ["B", "D"]
+    predictions, development = study["predictions"], study["development"]
+    found = lambda p, f=None: {(r["kind"], r["problem"]) for r in cv.transport_violations(development, p, both, SPEC, f).collect()}
+    assert found(predictions) == set()
+    unknown = predictions.withColumn("model", F.when((F.col("model") == "D") & (F.col("repeat") == 0), "Z").otherwise(F.col("model")))
+    assert ("model", "outside") in found(unknown)
+    assert ("repeat", "missing") in found(predictions.where("repeat = 0"))
+    assert found(predictions.unionByName(predictions.limit(1))) == {("id", "repeated")}
+    assert ("id", "uncovered") in found(predictions.where("id <> 'i000'"))
+    stranger = predictions.limit(1).withColumn("id", F.lit("nobody"))
+    assert ("id", "stranger") in found(predictions.unionByName(stranger))
+    folds = study["folds"].select("id", "repeat", "fold")
+    assert ("id", "fold of a stranger") in found(predictions, folds.unionByName(folds.limit(1).withColumn("id", F.lit("nobody"))))
+    with pytest.raises(ContractError, match="in development"):
+        cv.transport(
+            development, predictions, study["tuning"], study["cohort"].where("release = 'added'").unionByName(development.limit(20)),
+            study["tables"], MODELS, SPEC,
+        )
+
+
+def test_unusable_folds_are_errors(study):
+    development, folds = study["development"], study["folds"].select("id", "repeat", "fold")
+    found = lambda f: {(r["kind"], r["problem"]) for r in cv.fold_violations(development, f, SPEC).collect()}
+    group = development.first()["group_id"]
+    inside = development.where(F.col("group_id") == group).select("id")
+    assert found(folds) == set()
+    left_out = folds.join(inside, "id", "left_anti")
+    assert found(left_out) == {("id", "missing")}
+    assert found(folds.unionByName(folds.limit(1))) == {("id", "repeated")}
+    some = inside.first()["id"]
+    apart = folds.withColumn("fold", F.when((F.col("id") == some) & (F.col("repeat") == 0), (F.col("fold") + 1) % 3).otherwise(F.col("fold")))
+    assert found(apart) == ({("group", "split")} if inside.count() > 1 else set())
+    assert ("id", "outside") in found(folds.withColumn("fold", F.col("fold") + 1))
+    for broken in (left_out, folds.where("repeat = 0")):
+        with pytest.raises(ContractError):
+            cv.nested_cv(development, broken, study["tables"], {"B": MODELS["B"]}, SPEC)
+    with pytest.raises(ContractError, match="held out"):
+        cv.nested_cv(development, folds, study["tables"], {"B": MODELS["B"]}, SPEC, held_out=study["cohort"].where("release = 'added'").select("id").limit(3))
+
+
+def test_repeated_features_are_errors(study):
+    twice = {name: t.unionByName(t.limit(1)) for name, t in study["tables"].items()}
+    with pytest.raises(ContractError, match="repeat"):
+        cv.nested_cv(study["development"], study["folds"], twice, {"B": MODELS["B"]}, SPEC)
+
+
 def test_subset_keeps_its_folds_and_random_design_splits_groups(study):
     spec = dataclasses.replace(SPEC, repeats=1, population="vmost", populations={"vmost": ["vMost"]}, weights="balanced")
     got, _ = cv.nested_cv(study["development"], study["folds"].where("repeat = 0"), study["tables"], {"B": MODELS["B"]}, spec)
