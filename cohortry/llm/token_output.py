@@ -28,7 +28,7 @@ CHECKPOINT = 256
 BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
-CACHED_PIECES = 1_200_000
+CACHED_PIECES = 900_000
 JOINED = 4_000
 MARKS = ".,;:!?"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
