@@ -378,8 +378,11 @@ def s2(spark, d):
 
 
 def s4(spark, d):
-    """A hash sample of the records under two orders of the input: no row may differ."""
-    return ordering.order_differences(lambda rows: ordering.hash_sample(rows, 0.1, SEED), views.records(spark, d)).select("id")
+    """Records under two orders of the input: a hash sample must not differ, a column that shows the partitions must."""
+    records = views.records(spark, d).select("id").repartition(3)
+    sampled = ordering.order_differences(lambda rows: ordering.hash_sample(rows, 0.1, SEED), records)
+    shown = ordering.order_differences(lambda rows: rows.withColumn("tasks", F.lit(rows.rdd.getNumPartitions())), records)
+    return sampled.withColumn("tasks", F.lit(0)).unionByName(shown)
 
 
 def s5(spark, d):
@@ -502,7 +505,7 @@ ENTRIES = {
     "s2_hash_sample": (
         s2, f"with {views.RECORDS} select id, category from records qualify row_number() over (order by {h(str(SEED), 'id')}, id) "
             "<= greatest(1, ceil(0.1 * (select count(*) from records)))"),
-    "s4_order_differences": (s4, f"with {views.RECORDS} select id from records where false"),
+    "s4_order_differences": (s4, f"with {views.RECORDS} select id, tasks::integer as tasks from records cross join (values (3), (7)) t(tasks)"),
     "s5_review_packets": (
         s5, f"with {CURATED}, eligible as (select * from settled where eligibility), size as (select greatest(1, ceil(0.1 * count(*)))::bigint as n from eligible) "
             "select id, exclusion_code, 'exclusion' as packet from settled where not eligibility union all "

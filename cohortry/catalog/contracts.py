@@ -79,15 +79,21 @@ def g3(spark, d):
     return contracts.key_violations(views.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+TABLES = (
+    "nation supplier customer part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+)
+
+
 def g4(spark, d):
-    names = ["nation", "supplier", "customer", "part"]
-    now = contracts.concatenate([contracts.table_fingerprint(views.table(spark, d, n), n) for n in names])
-    before = {n: views.table(spark, d, n) for n in names}
+    """All tables as recorded, but for a changed price, a table that is gone and one that is new."""
+    marks = lambda named: contracts.concatenate([contracts.table_fingerprint(t, n) for n, t in named.items()])
+    before = {n: views.table(spark, d, n) for n in TABLES}
+    now = marks({**before, "region": views.table(spark, d, "region")})
     before["part"] = before["part"].withColumn(
         "p_retailprice", F.when(F.col("p_partkey") == 7, 0.0).otherwise(F.col("p_retailprice"))
     )
-    recorded = contracts.concatenate([contracts.table_fingerprint(t, n) for n, t in before.items()])
-    return contracts.drifted_tables(recorded, now)
+    before["retired"] = views.table(spark, d, "region")
+    return contracts.drifted_tables(marks(before), now)
 
 
 def g5(spark, d):
@@ -276,7 +282,8 @@ ENTRIES = {
         g3, "select l_orderkey, l_linenumber, count(*) as rows, 'duplicate' as problem from lineitem group by all having count(*) > 1"),
     "g4_drifted_tables": (
         g4, "select 'part' as table_name, count(*) as rows, count(*) as rows_now from part "
-            "having count_if(p_partkey = 7 and p_retailprice <> 0) > 0"),
+            "having count_if(p_partkey = 7 and p_retailprice <> 0) > 0 union all select 'retired', count(*), null from region "
+            "union all select 'region', null, count(*) from region"),
     "g5_lineage_conflicts": (
         g5, f"with {views.PREDICTIONS}, runs as (select repeat, count(*)::varchar as rows, sum(outcome)::varchar as positives, "
             "sum(convergence_warnings)::varchar as warnings, min(model) as first_model from predictions group by repeat), "

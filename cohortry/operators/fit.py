@@ -10,14 +10,15 @@ on the fits and the vector width, not on the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.metrics import exact_quantiles
@@ -26,6 +27,7 @@ from cohortry.session import cut_lineage, ship_package
 
 NEWTON_WIDTH = 300
 PASS_BYTES = 256 << 20
+FAN_IN = 64
 TEST = -1
 
 
@@ -87,20 +89,96 @@ def fold_scaler(
     tables, never by subtracting the part that is left out.
     """
     gap = lambda x: x.isNull() | F.isnan(x)
-    summed = lambda c: vector_to_array(Summarizer.sum(array_to_vector(c)))
-    ratio = lambda s, n: F.coalesce(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
     sums = df.groupBy(*keys, part).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(F.col(outcome).cast("bigint")).alias("_pos"),
         summed(F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(x))).alias("_s"),
         summed(F.transform(vec, lambda x: F.when(gap(x), 0.0).otherwise(1.0))).alias("_n"),
-    ).withColumn("_mean", F.zip_with("_s", "_n", ratio)).drop("_s")
+    ).withColumn("_mean", F.zip_with("_s", "_n", _ratio)).drop("_s")
     # as many rows as there are training sets and parts
     sums = cut_lineage(sums)
     own = broadcast_checked(sums.select(*keys, part, "_mean"))
     off = F.zip_with(vec, "_mean", lambda x, m: F.when(gap(x), 0.0).otherwise((x - m) * (x - m)))
     spread = join_on(df, own, [*keys, part]).groupBy(*keys, part).agg(summed(off).alias("_m2"))
     parts = cut_lineage(join_on(sums, spread, [*keys, part]))
+    return _scaling_of_parts(parts, keys, part, positions, width, lambda gaps: _medians(df, keys, part, gaps, width, vec))
+
+
+def split_scaler(df: DataFrame, positions: list[int], width: int) -> DataFrame:
+    """``fold_scaler`` of every outer split at once, over rows (vec, outcome, parts).
+
+    Each row adds its vector to the sums of its part in every split, inside the task, so no
+    vector is copied per split. A task sends one row per split and part.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select("vec", "outcome", "parts")
+
+    def added(batch: pa.RecordBatch, totals: dict, means: dict | None) -> None:
+        x, y, parts = _arrays(batch)
+        present = ~np.isnan(x)
+        filled = np.where(present, x, 0.0)
+        for outer in range(parts.shape[1]):
+            for part in np.unique(parts[:, outer]):
+                if part < 0:
+                    continue
+                own = parts[:, outer] == part
+                if means is None:
+                    stats = np.concatenate([[own.sum(), y[own].sum()], filled[own].sum(axis=0), present[own].sum(axis=0)])
+                else:
+                    stats = (np.where(present[own], x[own] - means[(outer, int(part))], 0.0) ** 2).sum(axis=0)
+                key = (outer, int(part))
+                totals[key] = totals[key] + stats if key in totals else stats
+
+    def task(means: dict | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict = {}
+            for batch in batches:
+                added(batch, totals, means)
+            if totals:
+                outer, part = (pa.array([k[i] for k in totals], pa.int32()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([outer, part, pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], names=["outer", "part", "stats"])
+        return run
+
+    schema = "outer int, part int, stats array<double>"
+    sums = _summed_by(rows.mapInArrow(task(None), schema), ["outer", "part"])
+    cut = lambda start: F.slice("stats", start + 1, width)
+    sums = cut_lineage(sums.select(
+        "outer", "part", F.col("stats")[0].cast("bigint").alias("_rows"), F.col("stats")[1].cast("bigint").alias("_pos"),
+        cut(2 + width).alias("_n"), F.zip_with(cut(2), cut(2 + width), _ratio).alias("_mean"),
+    ))
+    # as many rows as the settings give splits and parts
+    means = {(r["outer"], r["part"]): np.array(r["_mean"], float) for r in sums.select("outer", "part", "_mean").collect()}
+    squares = _summed_by(rows.mapInArrow(task(means), schema), ["outer", "part"]).withColumnRenamed("stats", "_m2")
+    parts = cut_lineage(join_on(sums, squares, ["outer", "part"]))
+
+    def medians(gaps: list[int]) -> DataFrame:
+        long = rows.select("outcome", "vec", F.posexplode("parts").alias("outer", "part")).where("part >= 0")
+        return _medians(long, ["outer"], "part", gaps, width, "vec")
+
+    return _scaling_of_parts(parts, ["outer"], "part", positions, width, medians)
+
+
+def summed(c) -> Column:
+    return vector_to_array(Summarizer.sum(array_to_vector(c)))
+
+
+def _ratio(s: Column, n: Column) -> Column:
+    return F.coalesce(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
+
+
+def _summed_by(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Vectors ``stats`` added up by keys; of many tasks first in groups, so that no reducer reads them all."""
+    if partial.rdd.getNumPartitions() > FAN_IN:
+        salted = partial.withColumn("_salt", F.spark_partition_id() % FAN_IN)
+        partial = salted.groupBy(*keys, "_salt").agg(summed("stats").alias("stats"))
+    return partial.groupBy(*keys).agg(summed("stats").alias("stats"))
+
+
+def _scaling_of_parts(
+    parts: DataFrame, keys: list[str], part: str, positions: list[int], width: int, medians: Callable[[list[int]], DataFrame]
+) -> DataFrame:
+    """Training statistics from the sums of each part: (_rows, _pos, _n, _mean, _m2)."""
+    ratio = _ratio
     left_out = parts.select(*keys, F.col(part).cast("int").alias("excluded")).unionByName(
         parts.select(*keys).distinct().withColumn("excluded", F.lit(None).cast("int"))
     )
@@ -119,7 +197,7 @@ def fold_scaler(
     stats = join_on(centres, squares, sets)
     gaps = _positions_with_gaps(parts, positions)
     if gaps:
-        stats = join_on(stats, _medians(df, keys, part, gaps, width, vec), sets, "left")
+        stats = join_on(stats, medians(gaps), sets, "left")
         stats = stats.withColumn("_median", F.coalesce("_median", "_centre"))
     else:
         # without gaps nothing is filled in, and the median is never used
@@ -194,10 +272,12 @@ def _packed(width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(width)
 
 
-def _arrays(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.array([np.asarray(v, dtype=float) for v in batch["vec"]])
-    parts = np.array([np.asarray(p, dtype=int) for p in batch["parts"]])
-    return x, batch["outcome"].to_numpy(dtype=float), parts
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors (gaps as NaN), outcomes and parts of a batch, straight from its buffers."""
+    rows = batch.num_rows
+    x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
+    parts = batch.column("parts").flatten().to_numpy(zero_copy_only=False).astype(int).reshape(rows, -1)
+    return x, batch.column("outcome").to_numpy(zero_copy_only=False).astype(float), parts
 
 
 def _with_ones(x: np.ndarray) -> np.ndarray:
@@ -216,10 +296,12 @@ def _sum_pass(df: DataFrame, tasks, points, scalings, options: FitOptions, curva
     ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((tasks, points, scalings))
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tasks, points, scalings = shared.value
         groups, totals = _grouped(tasks), {}
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, y, parts = _arrays(batch)
             for (outer, excluded), numbers in groups.items():
                 own = parts[:, outer]
@@ -245,12 +327,10 @@ def _sum_pass(df: DataFrame, tasks, points, scalings, options: FitOptions, curva
                     stats = np.concatenate(stats)
                     totals[number] = totals[number] + stats if number in totals else stats
         if totals:
-            yield pd.DataFrame({"task": list(totals), "stats": [t.tolist() for t in totals.values()]})
+            sums = pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), sums], names=["task", "stats"])
 
-    # every task sends one row of sums per fit, so there are as many tasks as run at once
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    partial = df.select("vec", "outcome", "parts").coalesce(slots).mapInPandas(add, "task int, stats array<double>")
-    return partial.groupBy("task").agg(vector_to_array(Summarizer.sum(array_to_vector("stats"))).alias("stats"))
+    return _summed_by(df.select("vec", "outcome", "parts").mapInArrow(add, "task int, stats array<double>"), ["task"])
 
 
 def _penalty(width: int, options: FitOptions) -> np.ndarray:
@@ -404,20 +484,27 @@ def predict_tasks(df: DataFrame, fitted: list[Fitted], scalings: dict, keep: lis
     fields = {f.name: f.dataType.simpleString() for f in df.select(*keep).schema}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + ", outer int, c double, probability double"
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, scalings = shared.value
         groups = _grouped({n: f.task for n, f in enumerate(fitted)})
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x, _, parts = _arrays(batch)
+            carried = batch.select(keep)
             for (outer, excluded), numbers in groups.items():
                 rows = parts[:, outer] == (TEST if held_out == "outer" else excluded)
-                if not rows.any():
+                n = int(rows.sum())
+                if not n:
                     continue
                 features = _with_ones(scalings[(outer, excluded)].apply(x[rows]))
-                kept = batch.loc[rows, keep]
+                kept = carried.filter(pa.array(rows))
                 for number in numbers:
                     margins = np.clip(features @ fitted[number].coefficients, -500, 500)
-                    yield kept.assign(outer=outer, c=fitted[number].task.c, probability=1.0 / (1.0 + np.exp(-margins)))
+                    yield pa.RecordBatch.from_arrays([
+                        *kept.columns, pa.array(np.full(n, outer), pa.int32()), pa.array(np.full(n, float(fitted[number].task.c))),
+                        pa.array(1.0 / (1.0 + np.exp(-margins))),
+                    ], names=[*keep, "outer", "c", "probability"])
 
     columns = list(dict.fromkeys([*keep, "vec", "outcome", "parts"]))
-    return df.select(*columns).mapInPandas(score, schema)
+    return df.select(*columns).mapInArrow(score, schema)

@@ -61,13 +61,15 @@ def stratified_group_folds(
 
     A fold without both outcome classes is an error; it is looked for in the group table.
     """
-    rows = repeated(df.select(id, group, outcome), len(seeds))
     # sizes do not depend on the repeat, so groups are counted once and dealt per repeat
     sizes = group_sizes(df, [], group, outcome)
     deals = deal_groups(repeated(sizes, len(seeds)), ["repeat"], group, k, seed_column(seeds))
     if check:
         enforce(dealt_violations(deals, ["repeat"], k), "folds need both outcome classes")
-    return salted_join(rows, deals.drop("_n", "_pos"), ["repeat", group], F.col(id)).select(id, group, outcome, "repeat", "fold")
+    # one row per group carries its folds of all repeats, so rows are joined once and multiplied after
+    folds = deals.groupBy(group).agg(F.collect_list(F.struct("repeat", "fold")).alias("_folds"))
+    joined = salted_join(df.select(id, group, outcome), folds, [group], F.col(id))
+    return joined.select(id, group, outcome, F.inline("_folds"))
 
 
 def stratified_folds(

@@ -453,7 +453,12 @@ def operating_thresholds(
     Both run along falling thresholds from +infinity, so ties go to the higher one.
     A key where no point reaches the target gets 0.0.
     """
-    curve = roc_curve(df, keys, y, score, splits)
+    return thresholds_of_collapsed(collapse_scores(df, keys, y, score, None, splits), keys, score, target)
+
+
+def thresholds_of_collapsed(collapsed: DataFrame, keys: list[str], score: str, target: float = 0.8) -> DataFrame:
+    """``operating_thresholds`` from one row of counts per keys and score, with its cell."""
+    curve = roc_points(threshold_counts(collapsed, keys, score), keys, score)
     gain = F.col("tpr") - F.col("fpr")
     reached = F.when(F.col("tpr") >= target, F.struct(-F.col("fpr"), F.col("threshold")))
     return curve.groupBy(*keys).agg(

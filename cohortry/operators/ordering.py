@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +18,24 @@ from cohortry.operators.skew import join_on
 def hash_sample(df: DataFrame, fraction: float, seed: int, id: str = "id") -> DataFrame:
     """Exactly max(1, ceil(fraction x rows)) rows, the ones with the smallest seeded hash.
 
-    The cell counts show which cell holds the last sampled row, so only hashes are ordered.
+    Counts per hash cell show which cell holds the last sampled row. Rows of the cells below
+    it pass a filter, without a shuffle; only the rows of that one cell are ordered.
     """
     if not 0 < fraction <= 1:
         raise ValueError("fraction must be in (0, 1]")
-    hashed = df.withColumn("_h", stable_hash(seed, id))
-    celled = hashed.withColumn(CELL, hash_cell(F.col("_h"), default_cells(df)))
-    placed = numbered(celled, [], [F.col("_h"), F.col(id)], name="_no", totals=True)
-    size = F.greatest(F.lit(1), F.ceil(F.col("_no_total") * F.lit(float(fraction))))
-    return placed.where(F.col("_no") <= size).select(*df.columns)
+    hashed = df.withColumns({"_h": stable_hash(seed, id), CELL: hash_cell(stable_hash(seed, id), default_cells(df))})
+    # as many rows as there are cells
+    counts = sorted((r[CELL], r["count"]) for r in hashed.groupBy(CELL).count().collect())
+    left = max(1, math.ceil(sum(n for _, n in counts) * fraction))
+    for cell, n in counts:
+        if n >= left:
+            break
+        left -= n
+    else:
+        return df
+    below, at = hashed.where(F.col(CELL) < cell), hashed.where(F.col(CELL) == cell)
+    placed = at.withColumn("_no", F.row_number().over(Window.partitionBy(CELL).orderBy("_h", id)))
+    return below.select(*df.columns).unionByName(placed.where(F.col("_no") <= left).select(*df.columns))
 
 
 def review_packets(

@@ -14,10 +14,11 @@ from cohortry.operators.contracts import (
 )
 from cohortry.operators.curate import population as keep_population
 from cohortry.operators.fit import (
-    FitOptions, FitTask, Fitted, collect_scalings, fit_logistic_tasks, fold_scaler, predict_tasks,
+    FitOptions, FitTask, Fitted, collect_scalings, fit_logistic_tasks, fold_scaler, predict_tasks, split_scaler,
 )
 from cohortry.operators.folds import deal_groups
-from cohortry.operators.metrics import auroc, operating_thresholds
+from cohortry.operators.metrics import auroc_of_counts, operating_thresholds, thresholds_of_collapsed
+from cohortry.operators.prefix import score_splits, with_score_cells
 from cohortry.operators.skew import join_on, salted_join
 from cohortry.operators.vectors import Block, assemble_blocks, continuous_positions
 from cohortry.session import cut_lineage
@@ -132,22 +133,26 @@ def tune(base: DataFrame, spec: AnalysisSpec, width: int, positions: list[int])
 
     ``base`` has (id, outcome, vec, parts). The inner parts are the same for every C.
     """
-    long = base.select("outcome", "vec", F.posexplode("parts").alias("outer", "part")).where("part >= 0")
-    scalings = collect_scalings(fold_scaler(long, ["outer"], "part", positions, width))
+    scalings = collect_scalings(split_scaler(base, positions, width))
     tasks = [
         FitTask(outer, part, float(c))
         for outer in range(spec.outers()) for part in range(spec.inner_folds) for c in sorted(spec.grid)
     ]
     fitted = fit_logistic_tasks(base, tasks, scalings, width, spec.options())
-    pooled = predict_tasks(base, fitted, scalings, ["id", "outcome"], "inner")
-    scores = auroc(pooled, ["outer", "c"], "outcome", "probability").withColumnRenamed("auroc", "inner_auroc")
+    pooled = predict_tasks(base, fitted, scalings, ["outcome"], "inner")
+    # rows are scored once; AUROC and thresholds start from counts per score
+    counts = cut_lineage(pooled.withColumn("probability", F.col("probability") + F.lit(0.0)).groupBy("outer", "c", "probability").agg(
+        F.count_if(F.col("outcome") == 1).alias("pos"), F.count_if(F.col("outcome") == 0).alias("neg")
+    ))
+    scores = auroc_of_counts(counts, ["outer", "c"], "probability").withColumnRenamed("auroc", "inner_auroc")
     # one row per outer split and C
     candidates = cut_lineage(join_on(scores, _fit_counts(base.sparkSession, fitted), ["outer", "c"]))
     choices = cut_lineage(pick_regularisation(candidates, ["outer"]))
     selected = {row["outer"]: row["selected_c"] for row in choices.collect()}
-    chosen = [f for f in fitted if f.task.c == selected[f.task.outer]]
-    best = predict_tasks(base, chosen, scalings, ["id", "outcome"], "inner")
-    thresholds = operating_thresholds(best, ["outer"], "outcome", "probability", spec.sensitivity_target)
+    picked = F.broadcast(choices.select("outer", F.col("selected_c").alias("c")))  # one row per outer split
+    best = counts.join(picked, ["outer", "c"])
+    celled = with_score_cells(best, "probability", score_splits(best, "probability"))
+    thresholds = thresholds_of_collapsed(celled, ["outer"], "probability", spec.sensitivity_target)
     return Tuning(candidates, choices, thresholds, selected, scalings, fitted)
 
 
