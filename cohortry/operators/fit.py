@@ -10,7 +10,7 @@ on the fits and the vector width, not on the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -101,84 +101,6 @@ def fold_scaler(
     off = F.zip_with(vec, "_mean", lambda x, m: F.when(gap(x), 0.0).otherwise((x - m) * (x - m)))
     spread = join_on(df, own, [*keys, part]).groupBy(*keys, part).agg(summed(off).alias("_m2"))
     parts = cut_lineage(join_on(sums, spread, [*keys, part]))
-    return _scaling_of_parts(parts, keys, part, positions, width, lambda gaps: _medians(df, keys, part, gaps, width, vec))
-
-
-def split_scaler(df: DataFrame, positions: list[int], width: int) -> DataFrame:
-    """``fold_scaler`` of every outer split at once, over rows (vec, outcome, parts).
-
-    Each row adds its vector to the sums of its part in every split, inside the task, so no
-    vector is copied per split. A task sends one row per split and part.
-    """
-    ship_package(df.sparkSession)
-    rows = df.select("vec", "outcome", "parts")
-
-    def added(batch: pa.RecordBatch, totals: dict, means: dict | None) -> None:
-        x, y, parts = _arrays(batch)
-        present = ~np.isnan(x)
-        filled = np.where(present, x, 0.0)
-        for outer in range(parts.shape[1]):
-            for part in np.unique(parts[:, outer]):
-                if part < 0:
-                    continue
-                own = parts[:, outer] == part
-                if means is None:
-                    stats = np.concatenate([[own.sum(), y[own].sum()], filled[own].sum(axis=0), present[own].sum(axis=0)])
-                else:
-                    stats = (np.where(present[own], x[own] - means[(outer, int(part))], 0.0) ** 2).sum(axis=0)
-                key = (outer, int(part))
-                totals[key] = totals[key] + stats if key in totals else stats
-
-    def task(means: dict | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            totals: dict = {}
-            for batch in batches:
-                added(batch, totals, means)
-            if totals:
-                outer, part = (pa.array([k[i] for k in totals], pa.int32()) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([outer, part, pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))], names=["outer", "part", "stats"])
-        return run
-
-    schema = "outer int, part int, stats array<double>"
-    sums = _summed_by(rows.mapInArrow(task(None), schema), ["outer", "part"])
-    cut = lambda start: F.slice("stats", start + 1, width)
-    sums = cut_lineage(sums.select(
-        "outer", "part", F.col("stats")[0].cast("bigint").alias("_rows"), F.col("stats")[1].cast("bigint").alias("_pos"),
-        cut(2 + width).alias("_n"), F.zip_with(cut(2), cut(2 + width), _ratio).alias("_mean"),
-    ))
-    # as many rows as the settings give splits and parts
-    means = {(r["outer"], r["part"]): np.array(r["_mean"], float) for r in sums.select("outer", "part", "_mean").collect()}
-    squares = _summed_by(rows.mapInArrow(task(means), schema), ["outer", "part"]).withColumnRenamed("stats", "_m2")
-    parts = cut_lineage(join_on(sums, squares, ["outer", "part"]))
-
-    def medians(gaps: list[int]) -> DataFrame:
-        long = rows.select("outcome", "vec", F.posexplode("parts").alias("outer", "part")).where("part >= 0")
-        return _medians(long, ["outer"], "part", gaps, width, "vec")
-
-    return _scaling_of_parts(parts, ["outer"], "part", positions, width, medians)
-
-
-def summed(c) -> Column:
-    return vector_to_array(Summarizer.sum(array_to_vector(c)))
-
-
-def _ratio(s: Column, n: Column) -> Column:
-    return F.coalesce(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
-
-
-def _summed_by(partial: DataFrame, keys: list[str]) -> DataFrame:
-    """Vectors ``stats`` added up by keys; of many tasks first in groups, so that no reducer reads them all."""
-    if partial.rdd.getNumPartitions() > FAN_IN:
-        salted = partial.withColumn("_salt", F.spark_partition_id() % FAN_IN)
-        partial = salted.groupBy(*keys, "_salt").agg(summed("stats").alias("stats"))
-    return partial.groupBy(*keys).agg(summed("stats").alias("stats"))
-
-
-def _scaling_of_parts(
-    parts: DataFrame, keys: list[str], part: str, positions: list[int], width: int, medians: Callable[[list[int]], DataFrame]
-) -> DataFrame:
-    """Training statistics from the sums of each part: (_rows, _pos, _n, _mean, _m2)."""
-    ratio = _ratio
     left_out = parts.select(*keys, F.col(part).cast("int").alias("excluded")).unionByName(
         parts.select(*keys).distinct().withColumn("excluded", F.lit(None).cast("int"))
     )
@@ -188,7 +110,7 @@ def _scaling_of_parts(
         F.sum("_rows").alias("rows"), F.sum("_pos").alias("positives"),
         summed(F.col("_n")).alias("_present"),
         summed(F.zip_with("_n", "_mean", lambda n, m: n * m)).alias("_total"),
-    ).withColumn("_centre", F.zip_with("_total", "_present", ratio))
+    ).withColumn("_centre", F.zip_with("_total", "_present", _ratio))
     between = F.transform(
         F.arrays_zip("_m2", "_n", "_mean", "_centre"),
         lambda e: e["_m2"] + e["_n"] * (e["_mean"] - e["_centre"]) * (e["_mean"] - e["_centre"]),
@@ -197,7 +119,7 @@ def _scaling_of_parts(
     stats = join_on(centres, squares, sets)
     gaps = _positions_with_gaps(parts, positions)
     if gaps:
-        stats = join_on(stats, medians(gaps), sets, "left")
+        stats = join_on(stats, _medians(df, keys, part, gaps, width, vec), sets, "left")
         stats = stats.withColumn("_median", F.coalesce("_median", "_centre"))
     else:
         # without gaps nothing is filled in, and the median is never used
@@ -226,6 +148,92 @@ def _scaling_of_parts(
     )
 
 
+def split_scalings(df: DataFrame, positions: list[int], width: int) -> dict[tuple[int, int | None], Scaling]:
+    """What ``collect_scalings(fold_scaler(...))`` gives for every outer split, over rows (vec, outcome, parts).
+
+    Each row adds its vector to the sums of its part in every split, inside the task, so no
+    vector is copied per split; a second pass adds squared deviations from the part's mean.
+    The sums come back as one row per split and part, a number the settings fix, and are put
+    together into training sets there, never by subtracting the part that is left out.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select("vec", "outcome", "parts")
+
+    def run(means: dict | None) -> dict[tuple[int, int], np.ndarray]:
+        sent = df.sparkSession.sparkContext.broadcast(means)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            means, totals = sent.value, {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, parts = _arrays(batch)
+                present = ~np.isnan(x)
+                filled = np.where(present, x, 0.0)
+                for outer in range(parts.shape[1]):
+                    for part in np.unique(parts[parts[:, outer] != TEST, outer]).tolist():
+                        own = parts[:, outer] == part
+                        if means is None:
+                            stats = np.concatenate([[own.sum(), y[own].sum()], filled[own].sum(axis=0), present[own].sum(axis=0)])
+                        else:
+                            stats = (np.where(present[own], x[own] - means[(outer, part)], 0.0) ** 2).sum(axis=0)
+                        totals[(outer, part)] = totals[(outer, part)] + stats if (outer, part) in totals else stats
+            if totals:
+                outer, part = (pa.array([k[i] for k in totals], pa.int32()) for i in (0, 1))
+                sums = pa.array([t.tolist() for t in totals.values()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([outer, part, sums], names=["outer", "part", "stats"])
+
+        added = _summed_by(rows.mapInArrow(task, "outer int, part int, stats array<double>"), ["outer", "part"])
+        return {(r["outer"], r["part"]): np.array(r["stats"], float) for r in added.collect()}
+
+    safe = lambda top, n: np.divide(top, n, out=np.zeros_like(top), where=n > 0)
+    sums = run(None)
+    means = {k: safe(v[2 : 2 + width], v[2 + width :]) for k, v in sums.items()}
+    squares = run(means)
+    gaps = sorted({int(i) for v in sums.values() for i in np.flatnonzero(v[2 + width :] < v[0])} & set(positions))
+    medians: dict = {}
+    if gaps:
+        long = rows.select("outcome", "vec", F.posexplode("parts").alias("outer", "part")).where(F.col("part") != TEST)
+        medians = {(r["outer"], r["excluded"]): np.array(r["_median"], float) for r in _medians(long, ["outer"], "part", gaps, width, "vec").collect()}
+    used = np.isin(np.arange(width), positions)
+    found = {}
+    for outer in sorted({o for o, _ in sums}):
+        parts = sorted(p for o, p in sums if o == outer)
+        for excluded in [None, *parts]:
+            kept = [(outer, p) for p in parts if p != excluded]
+            if not kept:
+                continue
+            total, positives = (int(sum(sums[k][i] for k in kept)) for i in (0, 1))
+            present = sum(sums[k][2 + width :] for k in kept)
+            centre = safe(sum(sums[k][2 + width :] * means[k] for k in kept), present)
+            spread = sum(squares[k] + sums[k][2 + width :] * (means[k] - centre) ** 2 for k in kept)
+            median = medians.get((outer, excluded), centre)
+            missing = total - present
+            mean = (present * centre + missing * median) / total
+            variance = (spread + present * (centre - mean) ** 2 + missing * (median - mean) ** 2) / total
+            plain = ~used | (variance <= 1e-24 * mean * mean)
+            found[(outer, excluded)] = Scaling(
+                np.where(used, median, 0.0), np.where(used, mean, 0.0), np.where(plain, 1.0, np.sqrt(variance)), total, positives
+            )
+    return found
+
+
+def summed(c) -> Column:
+    return vector_to_array(Summarizer.sum(array_to_vector(c)))
+
+
+def _ratio(s: Column, n: Column) -> Column:
+    return F.coalesce(s / F.nullif(n, F.lit(0.0)), F.lit(0.0))
+
+
+def _summed_by(partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Vectors ``stats`` added up by keys; of many tasks first in groups, so that no reducer reads them all."""
+    if partial.rdd.getNumPartitions() > FAN_IN:
+        salted = partial.withColumn("_salt", F.spark_partition_id() % FAN_IN)
+        partial = salted.groupBy(*keys, "_salt").agg(summed("stats").alias("stats"))
+    return partial.groupBy(*keys).agg(summed("stats").alias("stats"))
+
+
 def _positions_with_gaps(parts: DataFrame, positions: list[int]) -> list[int]:
     """Positions where some value is missing; at most the vector width of them."""
     short = parts.select("_rows", F.posexplode("_n").alias("position", "_present")).where("_present < _rows")

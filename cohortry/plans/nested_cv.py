@@ -14,7 +14,7 @@ from cohortry.operators.contracts import (
 )
 from cohortry.operators.curate import population as keep_population
 from cohortry.operators.fit import (
-    FitOptions, FitTask, Fitted, collect_scalings, fit_logistic_tasks, fold_scaler, predict_tasks, split_scaler,
+    FitOptions, FitTask, Fitted, fit_logistic_tasks, predict_tasks, split_scalings,
 )
 from cohortry.operators.folds import deal_groups
 from cohortry.operators.metrics import auroc_of_counts, operating_thresholds, thresholds_of_collapsed
@@ -133,7 +133,7 @@ def tune(base: DataFrame, spec: AnalysisSpec, width: int, positions: list[int])
 
     ``base`` has (id, outcome, vec, parts). The inner parts are the same for every C.
     """
-    scalings = collect_scalings(split_scaler(base, positions, width))
+    scalings = split_scalings(base, positions, width)
     tasks = [
         FitTask(outer, part, float(c))
         for outer in range(spec.outers()) for part in range(spec.inner_folds) for c in sorted(spec.grid)
@@ -239,6 +239,8 @@ def nested_cv(
     where given, are exactly the ids with all features that ``cohort`` must not hold.
     Folds that ``fold_violations`` names, repeated ids and any lost row raise ``ContractError``.
     """
+    # both are read by several checks and plans
+    cohort, folds = cut_lineage(cohort), cut_lineage(folds.select("id", "repeat", "fold"))
     enforce(key_violations(cohort, ["id"]), "cohort ids")
     enforce(fold_violations(cohort, folds, spec), "folds of the cohort")
     if held_out is not None:
@@ -314,8 +316,7 @@ def transport(
     for model, blocks in models.items():
         width = sum(b.width for b in blocks)
         base = cut_lineage(assemble_blocks(both.select("id", "outcome", "parts"), tables, blocks))
-        fitting = base.where("parts[0] = 0").withColumns({"outer": F.lit(0), "part": F.lit(0)})
-        scalings = collect_scalings(fold_scaler(fitting, ["outer"], "part", continuous_positions(blocks), width))
+        scalings = split_scalings(base.where("parts[0] = 0"), continuous_positions(blocks), width)
         fitted = fit_logistic_tasks(base, [FitTask(0, None, float(chosen[model]))], scalings, width, spec.options())
         scored = predict_tasks(base, fitted, scalings, ["id"], "outer").drop("outer")
         outputs.append(

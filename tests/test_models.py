@@ -104,6 +104,25 @@ def test_scaler_sees_training_rows_only(spark):
     assert row["scale"][0] == pytest.approx(np.std([0, 2, 4, 6]), rel=1e-6)
 
 
+def test_scalings_of_all_splits_match_the_scaler(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 4)) * 5 + 100
+    x[:, 2] = 7.0
+    x[rng.random((80, 4)) < 0.1] = np.nan
+    x[:, 1] = np.where(np.isnan(x[:, 1]), 1.0, x[:, 1])
+    rows = [(v.tolist(), int(y), p.tolist()) for v, y, p in zip(x, rng.integers(0, 2, 80), rng.integers(-1, 3, (80, 2)))]
+    df = spark.createDataFrame(rows, "vec array<double>, outcome int, parts array<int>").repartition(3)
+    long = df.select("outcome", "vec", F.posexplode("parts").alias("outer", "part")).where("part >= 0")
+    want = fit.collect_scalings(fit.fold_scaler(long, ["outer"], "part", [0, 1, 2], 4))
+    got = fit.split_scalings(df, [0, 1, 2], 4)
+    assert set(got) == set(want)
+    for key, scaling in want.items():
+        for name in ("mean", "scale"):
+            assert getattr(got[key], name) == pytest.approx(getattr(scaling, name), rel=1e-12)
+        assert got[key].median[0] == pytest.approx(scaling.median[0])
+        assert (got[key].rows, got[key].positives) == (scaling.rows, scaling.positives)
+
+
 def test_scaler_fills_gaps_and_keeps_constants(spark):
     rows = [([1.0, 7.0, 1.0], 0, 0), ([None, 7.0, 0.0], 1, 0), ([5.0, 7.0, 1.0], 0, 0), ([float("nan"), 7.0, 0.0], 1, 1), ([9.0, 7.0, 1.0], 1, 1)]
     df = spark.createDataFrame(rows, "vec array<double>, outcome int, part int").withColumn("outer", F.lit(0))
