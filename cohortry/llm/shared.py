@@ -64,15 +64,6 @@ def portions(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iter
             yield batch.slice(start, step)
 
 
-def batch_of(arrays: dict[str, object], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, type=kinds[k]) for k, v in arrays.items()], names=list(arrays))
-
-
-def text_key(doc_id: Column, text: Column) -> list[Column]:
-    """A row's identity for joins: its id and 64 bits of its text, so that repeated ids with other texts stay apart."""
-    return [doc_id.alias("_id"), F.xxhash64(text).alias("_hash")]
-
-
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of the id's text modulo ``of``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
