@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Words score by where they stand, tags score below
 zero; the weights are log-odds learned from labelled pages. One linear scan finds the
 contiguous region with the largest sum. Words in it that score below zero themselves,
-such as those of an advert inside an article, are left out.
+such as those of an advert inside an article, are left out; such a block costs the region
+no more than its opening tag, however long it is.
 """
 
 from __future__ import annotations
@@ -98,10 +99,13 @@ def _zone(name: str, attributes: str, outer: str) -> str:
     return WORTHY if WORTHY in hinted and not apart else outer
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, str]]:
-    """(kind, zone, block, linked, value): ``text`` with its place, or ``tag`` with its name."""
+def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool, str]]:
+    """(kind, zone, block, linked, cut, value): ``text`` with its place, or ``tag`` with its name.
+
+    ``cut`` holds inside a part of an open article that is no main text.
+    """
     stack: list[tuple[str, str]] = []
-    zone, linked, raw, depth = "", 0, None, 0
+    zone, linked, raw, depth, worthy = "", 0, None, 0, 0
     for match in _TOKEN.finditer(page):
         piece = match.group()
         name = match.group(2) or match.group(5)
@@ -114,16 +118,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, str]]:
         if not name:
             if not piece.startswith(("<!", "<?")):
                 block = next((n for n, _ in reversed(stack) if n not in INLINE), "")
-                yield "text", zone, block, linked > 0, piece
+                yield "text", zone, block, linked > 0, worthy > 0 and zone != WORTHY, piece
             continue
         name = name.lower()
         closing = bool(match.group(1) or match.group(4))
         if name in RAW:
             if not closing and not piece.endswith("/>"):
                 raw, depth = name, 1
-            yield "tag", zone, "", False, name
+            yield "tag", zone, "", False, worthy > 0 and zone != WORTHY, name
             continue
-        yield "tag", zone, "", False, name
+        yield "tag", zone, "", False, worthy > 0 and zone != WORTHY, name
         if name in VOID:
             continue
         if closing:
@@ -131,6 +135,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, str]]:
             if at is None:
                 continue
             linked -= sum(n == "a" for n, _ in stack[at:])
+            worthy -= sum(z == WORTHY for _, z in stack[at:])
             zone = stack[at][1]
             del stack[at:]
             continue
@@ -139,6 +144,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in shut:
                     linked -= sum(n == "a" for n, _ in stack[i:])
+                    worthy -= sum(z == WORTHY for _, z in stack[i:])
                     zone = stack[i][1]
                     del stack[i:]
                     break
@@ -146,11 +152,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, str]]:
                     break
         if not piece.endswith("/>"):
             outer = zone
-            if zone == "header" and name in ("h1", "h2") and any(z == WORTHY for _, z in stack):
+            if zone == "header" and name in ("h1", "h2") and worthy:
                 zone = WORTHY
             else:
                 zone = _zone(name, match.group(3) or "", outer)
             stack.append((name, outer))
+            worthy += outer == WORTHY
             linked += name == "a"
 
 
@@ -162,7 +169,7 @@ def fit(pages: list[str]) -> PageModel:
         inside = [i for i, c in enumerate(page) if c in "⟦⟧"]
         first, last = (inside[0], inside[-1]) if inside else (len(page), len(page))
         main, at = False, 0
-        for kind, zone, block, linked, value in tokens(page):
+        for kind, zone, block, linked, _, value in tokens(page):
             if kind == "tag":
                 at = page.find("<", at)
                 tags[first <= at <= last][value] += 1
@@ -204,20 +211,20 @@ def main_text(page: str | None, model: PageModel) -> str:
     known: dict[tuple[str, str, bool], float] = {}
     scores = np.empty(len(found))
     weights = np.zeros(len(found))
-    for i, (kind, zone, block, linked, value) in enumerate(found):
+    for i, (kind, zone, block, linked, cut, value) in enumerate(found):
         if kind == "tag":
-            scores[i] = model.tag(value)
+            scores[i] = 0.0 if cut else model.tag(value)
             continue
         key = (zone, block, linked)
         weight = known.get(key)
         if weight is None:
             weight = known[key] = model.word(*key)
         weights[i] = weight
-        scores[i] = weight * len(value.split())
+        scores[i] = 0.0 if cut else weight * len(value.split())
     first, end = best_region(scores)
     out: list[str] = []
     for i in range(first, end):
-        kind, _, _, _, value = found[i]
+        kind, *_, value = found[i]
         if kind == "tag":
             if value not in INLINE:
                 out.append(" ")

@@ -48,3 +48,15 @@ def test_edge_cases(spark):
     assert got[None] == "plain words in a row" and got[4] == "no markup at all" and got[6] == "cut off he"
     assert found.count() == len(rows) and found.where("n_chars <> length(text)").count() == 0
     assert extract(df.limit(0)).count() == 0
+
+
+def test_a_long_part_to_leave_out_cuts_no_side_of_an_article_off():
+    lead, tail, many = "Four word title here", "A last line.", "buy this now " * 30
+    parts = [f'<div class="ad">{many}</div>', f"<aside><ul>{'<li><a href=/x>Another story</a></li>' * 60}</ul></aside>", f'<div class="newsletter"><form><p>{many}</p></form></div>']
+    for part in parts:
+        for outer in ("article", "main"):
+            page = lambda a, b: f"<body><{outer}><h1>{a}</h1>{part}<p>{b}</p></{outer}><footer>End</footer></body>"  # noqa: B023, E731
+            for a, b in ((lead, "long text " * 200), ("long text " * 200, tail)):
+                assert main_text(page(a, b), MODEL) == " ".join(f"{a} {b}".split())
+    # outside an article the penalty stays
+    assert main_text(f"<p>Short lead.</p>{parts[0]}<p>{'long text ' * 50}</p>", MODEL) == " ".join(["long text"] * 50)
