@@ -60,3 +60,30 @@ def test_a_long_part_to_leave_out_cuts_no_side_of_an_article_off():
                 assert main_text(page(a, b), MODEL) == " ".join(f"{a} {b}".split())
     # outside an article the penalty stays
     assert main_text(f"<p>Short lead.</p>{parts[0]}<p>{'long text ' * 50}</p>", MODEL) == " ".join(["long text"] * 50)
+
+
+def test_wrappers_named_after_what_stands_beside_the_text():
+    article, text = "<article><h1>Title</h1><p>Some words of text.</p></article>", "Title Some words of text."
+    for name in ("page has-sidebar", "page sidebar-right", "ad-free", "comments-enabled", "no-ads", "content-sidebar-wrap", "sticky-header", "cookie-layout", "elementor-widget"):
+        for wrapped in (article, article.replace("article", "main"), article.replace("<article", '<div role="main"').replace("/article", "/div")):
+            assert main_text(f'<body><div class="{name}">{wrapped}</div></body>', MODEL) == text, name
+        assert main_text(f'<div id="{name}"><h1>Above</h1>{article}<div class="sidebar">Beside it</div></div>', MODEL) == "Above " + text, name
+        assert main_text(f'<div class="{name}"><div class="menu-wrap">{article}</div><aside><article>Other text here</article></aside></div>', MODEL) == text, name
+    for name in ("post with-sidebar", "post sidebar-right", "has-comments"):
+        assert main_text(article.replace("<article", f'<article class="{name}"'), MODEL) == text
+    assert main_text(f'<main class="ads comments sidebar">{article}</main>', MODEL) == text
+    # what is no main text stays out
+    for out in ('<div class="comments">{}</div>', '<div class="ad">{}</div>', '<div class="related">{}</div>', "<aside><div>{}</div></aside>", '<div role="complementary">{}</div>', '<div hidden class="sidebar">{}</div>',
+                '<div class="page sidebar-right"><div class="comments">{}</div></div>', '<div class="sidebar"><nav>{}</nav></div>'):
+        assert main_text(out.format(article), MODEL) == "", out
+    assert main_text(article + '<div class="sidebar"><article>Read this too</article></div>', MODEL) == text
+    assert main_text(f'<div class="page sidebar-right">{article}<div class="sidebar"><article>Read this too</article></div></div>', MODEL) == text
+    assert main_text(article.replace("<article", '<article class="comment"'), MODEL) == main_text(article.replace("<article", '<article class="teaser"'), MODEL) == ""
+
+
+def test_head_without_an_end_tag():
+    head = '<html><head><title>x y z</title><meta name="a"><script>var s = "<p>no text";</script><style>p{}</style><!-- c --> '
+    for rest in ("<body><p>text and more", "<p>text and more", "text and more", "</head><body><p>text and more", "</head><p>text and more</p>", "<body class=has-sidebar><article>text and more</article>"):
+        assert main_text(head + rest, MODEL) == "text and more", rest
+    assert main_text("<html><head><title>x</title><body><p>text", MODEL) == "text"
+    assert main_text("<head><title>x</title></head>", MODEL) == ""
