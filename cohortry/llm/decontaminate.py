@@ -3,7 +3,8 @@
 The index is a table of segments. A segment holds some whole documents, their terms, and
 for each term the sorted positions at which it stands. A search takes the terms of every
 benchmark window from the rarest on and intersects their position lists, shifted by each
-term's offset in the window; what is left are the exact occurrences.
+term's offset in the window; what is left are the exact occurrences. For proximity
+it looks around each position of the rarest term for a span that holds all of them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.shared import in_tasks, portions, spread_rows, written
 
 WINDOW = 10
+NEAR = 2 * WINDOW
 SEGMENT_WORDS = 1_000_000
 BLOCK_WINDOWS = 200_000
 CANDIDATES = 2_000_000
@@ -139,12 +141,24 @@ class Segment:
         at = np.searchsorted(self.keys, key)
         return self.keys[np.minimum(at, len(self.keys) - 1)] == key
 
-    def has_between(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, term * self.stride + low)
+    def has_between(self, term: np.ndarray, low: np.ndarray, high: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Does ``term`` stand at ``times`` or more of the positions low..high?"""
+        at = np.searchsorted(self.keys, term * self.stride + low) + times - 1
         return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= term * self.stride + high)
 
+    def all_between(self, rows: np.ndarray, terms: np.ndarray, times: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Places in ``rows`` whose window has all its terms, as often as it has them, in low..high."""
+        left = np.arange(len(rows))
+        for k in range(terms.shape[1]):
+            term = terms[rows[left], k]
+            ok = term < 0
+            some = left[~ok]
+            ok[~ok] = self.has_between(term[~ok], low[some], high[some], times[rows[some], k])
+            left = left[ok]
+        return left
+
     def search(self, vocabulary: list[bytes], windows: np.ndarray, near: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(window, start) of exact occurrences, and (window, position) of proximity matches."""
+        """(window, start) of exact occurrences, and (window, position) in spans of ``near`` words that hold all its words."""
         local = np.asarray([self.number.get(t, -1) for t in vocabulary] + [-1], np.int64)
         empty = np.empty(0, np.int64)
         if not len(self.keys):
@@ -155,6 +169,7 @@ class Segment:
         rank = np.argsort(each[alive], axis=1, kind="stable")
         terms = local[np.take_along_axis(windows[alive], rank, axis=1)]
         sizes = self.n[terms[:, 0]] if len(alive) else empty
+        times = (terms[:, :, None] == terms[:, None, :]).sum(axis=2) if near is not None else empty
         exact, close, start = [(empty, empty)], [(empty, empty)], 0
         cuts = np.cumsum(sizes)
         while start < len(alive):
@@ -172,13 +187,16 @@ class Segment:
             exact.append((alive[kept], begin))
             if near is not None:
                 doc = self.doc_of(where)
-                low, high = np.maximum(where - near, self.starts[doc]), np.minimum(where + near, self.ends[doc] - 1)
-                for k in range(1, windows.shape[1]):
-                    term = terms[rows, k]
-                    ok = term < 0
-                    ok[~ok] = self.has_between(term[~ok], low[~ok], high[~ok])
-                    rows, where, low, high = rows[ok], where[ok], low[ok], high[ok]
-                close.append((alive[rows], where))
+                first, last = self.starts[doc], self.ends[doc] - 1
+                around = self.all_between(rows, terms, times, np.maximum(where - near + 1, first), np.minimum(where + near - 1, last))
+                rows, where, first, last = rows[around], where[around], first[around], last[around]
+                for back in range(near):
+                    low = np.maximum(where - back, first)
+                    found = self.all_between(rows, terms, times, low, np.minimum(where - back + near - 1, last))
+                    close.append((alive[rows[found]], where[found]))
+                    left = np.ones(len(rows), bool)
+                    left[found] = False
+                    rows, where, first, last = rows[left], where[left], first[left], last[left]
             start = stop
         return tuple(np.concatenate(parts) for parts in (*zip(*exact), *zip(*close)))
 
@@ -208,8 +226,11 @@ def _search_block(index: DataFrame, block: dict[tuple[bytes, ...], list[int]], n
                 window, start, near_window, near_at = segment.search(vocabulary, windows, near)
                 doc, near_doc = segment.doc_of(start), segment.doc_of(near_at)
                 out: list[list] = [[], [], [], [], [], []]
-                for place in np.union1d(doc, near_doc).tolist():
-                    here, close = np.flatnonzero(doc == place), np.flatnonzero(near_doc == place)
+                by_doc, by_near = np.argsort(doc, kind="stable"), np.argsort(near_doc, kind="stable")
+                places = np.union1d(doc, near_doc)
+                cuts, near_cuts = ([np.searchsorted(d[o], places, side=side) for side in ("left", "right")] for d, o in ((doc, by_doc), (near_doc, by_near)))
+                for place, a, b, c, d in zip(places.tolist(), *cuts, *near_cuts):
+                    here, close = by_doc[a:b], by_near[c:d]
                     found = sorted({i for w in np.unique(window[here]).tolist() for i in owners[w]})
                     nearby = sorted({i for w in np.unique(near_window[close]).tolist() for i in owners[w]})
                     begin = start[here] - segment.starts[place]
@@ -237,7 +258,8 @@ def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, near: int | N
     ``items`` are the ids of items of which a window of ``window`` words occurs (an item of
     fewer words is one window), ``spans`` the word ranges [a, b) the occurrences cover and
     ``n_hit`` the number of words in them. With ``near``, ``near_items`` are items of which
-    all words of a window stand within ``near`` words of its rarest one, in any order.
+    all words of a window, repeated ones as often as in it, stand in some ``near`` words of
+    the row one after the other, in any order.
     ``hash`` is xxhash64 of the text, so that (doc_id, hash) names a row for joins.
 
     The benchmark is read in blocks of at most BLOCK_WINDOWS windows, each sent to all

@@ -32,11 +32,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return _matches(decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def decontaminate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with the proximity matches, which its SQL does not have, behind its columns."""
+    return _matches(decontaminate.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=decontaminate.NEAR), "near_items")
+
+
+def _matches(found: DataFrame, *more: str) -> DataFrame:
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *more,
     )
 
 
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_decontaminate": op4_decontaminate,
+    "decontaminate_near": decontaminate_near,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_html_extract": op7_html_extract,

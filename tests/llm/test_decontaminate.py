@@ -1,10 +1,11 @@
 import re
+from collections import Counter
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate
+from cohortry.llm import decontaminate, queries
 from cohortry.llm.decontaminate import match
 
 DOCS, ITEMS = "doc_id bigint, text string", "item_id bigint, text string"
@@ -58,6 +59,40 @@ def test_proximity(spark):
     assert all(r["items"] == [] for r in found.values())
 
 
+def brute_near(docs, items, size, near):
+    out = []
+    for doc_id, text in docs:
+        w, found = words(text), set()
+        for item_id, item in items:
+            v = words(item)
+            n = min(size, len(v))
+            for i in range(len(v) - n + 1 if v else 0):
+                need = Counter(v[i : i + n])
+                if any(not need - Counter(w[j : j + near]) for j in range(len(w))):
+                    found.add(item_id)
+        out.append((doc_id, tuple(sorted(found))))
+    return sorted(out)
+
+
+def test_proximity_is_the_same_however_documents_are_packed(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    text = lambda n: " ".join(rng.choice(list("aBcdefgé7"), n))
+    docs = [(int(i), text(int(rng.integers(0, 40)))) for i in range(60)]
+    items = [(int(i), text(int(n))) for i, n in enumerate([0, 1, 2, 3, 4, 4, 5, 5, 6, 9])] + [(20, "a a a b"), (21, "7 7 7 7")]
+    for near, parts, size in ((4, 1, 1_000_000), (6, 1, 1_000_000), (6, 3, 60), (6, 7, 1), (11, 5, 100)):
+        monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", size)
+        found = match(spark.createDataFrame(docs, DOCS).repartition(parts), spark.createDataFrame(items, ITEMS), window=4, near=near).collect()
+        assert sorted((r["doc_id"], tuple(r["near_items"])) for r in found) == brute_near(docs, items, 4, near)
+        assert all(set(r["items"]) <= set(r["near_items"]) for r in found)
+
+
+def test_a_registered_query_finds_proximity_matches(spark):
+    found = queries.QUERIES["decontaminate_near"](spark, "/root/testdata/sf0.001").collect()
+    plain = {r["doc_id"]: r for r in queries.QUERIES["op4_decontaminate"](spark, "/root/testdata/sf0.001").collect()}
+    assert all(r[:-1] == tuple(plain[r["doc_id"]]) and len(r["near_items"]) >= r["n_items"] for r in found)
+    assert sum(len(r["near_items"]) for r in found) > 0
+
+
 def test_edge_cases(spark):
     long = "long " * 40_000 + "alpha beta gamma"
     rows = [(1, None), (2, ""), (3, long), (4, "ALPHA, beta-gamma!"), (4, "ALPHA, beta-gamma!"), (None, "alpha beta gamma"), (4, "clean")]
