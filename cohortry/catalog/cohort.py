@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortry import views
-from cohortry.catalog.scores import draws_sql, rounded
+from cohortry.catalog.scores import draws_sql, rounded, whole
 from cohortry.functions import text
 from cohortry.functions.fixed_values import FLAG_EQUIVALENT, FLAG_METAL, FLAG_NOT_EQUIVALENT, FLAG_PEPTIDE, FLAG_SALT
 from cohortry.functions.hashing import stable_hash
@@ -91,10 +91,10 @@ def snk2(spark, d):
     return readers.read_vectors(spark, path, 64).select("id", F.element_at("vec", -1).cast("double").alias("last_value"))
 
 
-def snk3(spark, d):
+def snk3(spark, d, resamples=20):
     path = sinks.scratch_path(spark, "draws")
     draws = resample.cluster_bootstrap(
-        views.predictions(spark, d), "group_id", "model", "outcome", "probability", 20, 120900
+        views.predictions(spark, d), "group_id", "model", "outcome", "probability", resamples, 120900
     )
     sinks.write_draws(draws, path, "primary")
     return rounded(spark.read.parquet(path).select("analysis", "resample", "stat"))
@@ -427,6 +427,7 @@ KEPT = views.KEPT_IDS + ", values_once as (select distinct value from kept_ids)"
 ORDERED_COUNTS = "counts as (select lang, source, count(*) as rows from documents group by all)"
 
 ENTRIES = {
+    "snk3_draw_sink_2000": (whole(snk3), None),
     "src1_noisy_delimited": (
         src1, "select 'LT'||o_orderkey as record_id, o_custkey::varchar as customer, o_orderpriority as priority, '' as comment "
               "from orders where o_orderstatus not in ('F', 'P')"),

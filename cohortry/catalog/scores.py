@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from cohortry import views
@@ -11,7 +13,8 @@ from cohortry.operators import metrics, resample
 from cohortry.plans import estimate
 
 KEYS = ["model", "repeat"]
-R = 20
+# Resamples of the queries that SQL checks, and of the same queries at their whole size, which SQL is too slow for.
+R, WHOLE = 20, 2000
 SEED = 120900
 Y, P = "outcome", "probability"
 
@@ -254,30 +257,30 @@ def e2(spark, d):
     return rounded(one.select("delta", F.posexplode("repeat_deltas").alias("repeat", "repeat_delta")))
 
 
-def boot(spark, d):
-    return resample.cluster_bootstrap(views.predictions(spark, d), "group_id", "model", Y, P, R, SEED)
+def boot(spark, d, resamples=R):
+    return resample.cluster_bootstrap(views.predictions(spark, d), "group_id", "model", Y, P, resamples, SEED)
 
 
-def e3(spark, d):
-    return rounded(boot(spark, d))
+def e3(spark, d, resamples=R):
+    return rounded(boot(spark, d, resamples))
 
 
 def single(spark, d):
     return views.predictions(spark, d).where("repeat = 0 and release = 'added'")
 
 
-def e4(spark, d):
+def e4(spark, d, resamples=R):
     return rounded(
-        resample.cluster_bootstrap(single(spark, d), "group_id", "model", Y, P, R, SEED + 1, repeat=None)
+        resample.cluster_bootstrap(single(spark, d), "group_id", "model", Y, P, resamples, SEED + 1, repeat=None)
     )
 
 
-def a7(spark, d):
-    return rounded(resample.percentile_interval(boot(spark, d), []))
+def a7(spark, d, resamples=R):
+    return rounded(resample.percentile_interval(boot(spark, d, resamples), []))
 
 
-def j13(spark, d):
-    return resample.group_draws(views.cohort(spark, d), "group_id", R, SEED)
+def j13(spark, d, resamples=R):
+    return resample.group_draws(views.cohort(spark, d), "group_id", resamples, SEED)
 
 
 def e5(spark, d):
@@ -305,8 +308,13 @@ def a14_shift(spark, d):
     return rounded(resample.endpoint_shift(events, ["event_type"], 20))
 
 
-def estimate_row(spark, d):
-    return rounded(estimate.estimate(views.predictions(spark, d), R, SEED))
+def estimate_row(spark, d, resamples=R):
+    return rounded(estimate.estimate(views.predictions(spark, d), resamples, SEED))
+
+
+def whole(query):
+    """The query with all resamples."""
+    return partial(query, resamples=WHOLE)
 
 
 METRIC_LIST = "auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy"
@@ -421,4 +429,9 @@ select model, round(a, 5) as calibration_intercept, round(b, 5) as calibration_s
         + verdict_sql("ci_lower", "ci_upper", 0.03) + " as region from p cross join i) "
         "select round(delta_auroc, 6) as delta_auroc, round(ci_lower, 6) as ci_lower, round(ci_upper, 6) as ci_upper, "
         "successful, region, " + wording_sql("region") + " as interpretation from v"),
+    "e3_cluster_bootstrap_2000": (whole(e3), None),
+    "e4_single_pass_bootstrap_2000": (whole(e4), None),
+    "a7_percentile_interval_2000": (whole(a7), None),
+    "j13_group_draws_2000": (whole(j13), None),
+    "estimate_2000": (whole(estimate_row), None),
 }

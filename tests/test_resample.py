@@ -110,3 +110,22 @@ def test_interval_of_the_draws(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.arange(41))], "resample int, delta double")
     row = resample.percentile_interval(df, []).first()
     assert (row["ci_lower"], row["ci_upper"], row["successful"]) == (1.0, 39.0, 41)
+
+
+def test_more_resamples_than_a_block_match_row_copies(spark):
+    rows, df = predictions(spark, n=40)
+    n = 2 * resample.DRAW_BLOCK + 10
+    draws = {(r["resample"], r["group_id"]): r["times"] for r in resample.group_draws(df, "group_id", n, 3).collect()}
+    got = {r["resample"]: r["delta"] for r in resample.cluster_bootstrap(df, "group_id", "model", "outcome", "probability", n, 3).collect()}
+    want = brute_deltas(rows, draws, n)
+    assert got.keys() == want.keys()
+    assert [got[r] for r in want] == pytest.approx(list(want.values()), abs=1e-12)
+
+
+def test_registered_bootstraps_draw_the_whole_number_of_resamples(spark, monkeypatch):
+    import __spark_entry__ as entry_points
+    from cohortry.operators import prefix
+
+    monkeypatch.setattr(prefix, "CELL_ROWS", 100_000)
+    answer = entry_points.queries()["estimate_2000"](spark, "/root/testdata/sf0.001").first()
+    assert answer["successful"] == 2000
