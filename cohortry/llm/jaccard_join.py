@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.components import components
 from cohortry.llm.decontaminate import words_of
-from cohortry.llm.shared import in_tasks, local_roots, portions, runs, spread_rows, written
+from cohortry.llm.shared import Bounded, in_tasks, local_roots, portions, runs, spread_rows, worker_state, written
 
-CACHED_WORDS = 500_000
 ROWS_AT_ONCE = 2_048
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,21 +52,15 @@ class ForestSpec:
         raise ValueError("more trees are needed for this target")
 
 
-class _Hashes(dict):
+class _Hashes(Bounded):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
+        return self.keep(word, xxhash.xxh64_intdigest(word))
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` words; a shorter text with words is one run."""
     found = words_of(text)
-    each = np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    each = np.fromiter(map(worker_state("jaccard_join", _Hashes).__getitem__, found), np.uint64, len(found))
     if not len(each):
         return each
     size = min(words, len(each))

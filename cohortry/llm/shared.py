@@ -64,6 +64,43 @@ def portions(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iter
             yield batch.slice(start, step)
 
 
+class Bounded(dict):
+    """What a worker remembers, up to about ``limit`` bytes; beyond that it starts again.
+
+    ``each`` estimates the bytes of an entry beside its key. Results never depend on it.
+    """
+
+    limit = 24_000_000
+    each = 120
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held = 0
+
+    def keep(self, key, value):
+        self.held += len(key) + self.each
+        if self.held > self.limit:
+            self.clear()
+            self.held = len(key) + self.each
+        self[key] = value
+        return value
+
+
+_state: tuple[object, object] = (None, None)
+
+
+def worker_state(name: object, make: Callable[[], object]) -> object:
+    """What tasks of one operator share in a Python worker: one thing at a time.
+
+    Workers outlive stages, so the state of one operator is dropped when the next one asks.
+    """
+    global _state
+    if _state[0] != name:
+        _state = (None, None)
+        _state = (name, make())
+    return _state[1]
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """crc32 of the id's text modulo ``of``; 0 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))

@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.shared import in_tasks, portions, shared_folder, spread_rows, written
+from cohortry.llm.shared import Bounded, in_tasks, portions, shared_folder, spread_rows, worker_state, written
 
 CHECKPOINT = 256
 BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
-CACHED_PIECES = 900_000
+PORTION = 2_000_000
 JOINED = 4_000
 MARKS = ".,;:!?"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,18 +41,29 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in visible} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
-class Pieces(dict):
+class Pieces(Bounded):
     """Ids of text pieces as bytes, encoded once and kept up to a bound."""
 
-    def __init__(self, encode, prefix: str):
+    each = 280
+
+    def __init__(self, encode, prefix: str, limit: int):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.limit = encode, prefix, limit
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
+        return self.keep(piece, self.encode(self.prefix + piece))
+
+    def add(self, pairs: list[tuple[str, bytes]]) -> None:
+        """Keep all of these for now; ``room`` is what bounds them."""
+        self.held += sum(len(p) + self.each for p, _ in pairs)
+        self.update(pairs)
+
+    def room(self, pieces: list[str], used: list[tuple[str, bytes]]) -> None:
+        """Before new pieces go in: beyond the limit, only what is used now stays."""
+        if self.held + sum(len(p) + self.each for p in pieces) > self.limit:
             self.clear()
-        found = self[piece] = self.encode(self.prefix + piece)
-        return found
+            self.held = 0
+            self.add(used)
 
 
 class Encoder:
@@ -78,7 +89,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in plain.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.first, self.later, self.runs = Pieces(self.head, ""), Pieces(self.whole, " "), Pieces(self.whole, "")
+        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 96_000_000), Pieces(self.whole, "", 8_000_000)
         blank = "\u0120"  # how byte-level vocabularies write the blank
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -112,11 +123,11 @@ class Encoder:
         stems = {p[:-1] for p in marked} - self.later.keys()
         self._learn([p for p in pieces if not (p[-1] in MARKS and p[-2:-1].isalpha())] + list(stems))
         later, alone = self.later, self.runs
-        self.later.update([(p, later[p[:-1]] + alone[p[-1]]) for p in marked])
+        self.later.add([(p, later[p[:-1]] + alone[p[-1]]) for p in marked])
 
     def _learn(self, pieces: list[str]) -> None:
         """A cut of letters alone is one piece, which the model can take at once; others are joined."""
-        self.later.update([(p, self._letters("\u0120", p)) for p in pieces if p.isalpha()])
+        self.later.add([(p, self._letters("\u0120", p)) for p in pieces if p.isalpha()])
         width, pieces = np.dtype(self.kind).itemsize, [p for p in pieces if not p.isalpha()]
         for a in range(0, len(pieces), JOINED):
             part = pieces[a : a + JOINED]
@@ -125,7 +136,7 @@ class Encoder:
             if len(cuts) != len(part) or cuts[0] != 0:
                 continue  # encoded one by one when they are looked up
             raw, cuts = ids.tobytes(), [*(cuts * width).tolist(), len(ids) * width]
-            self.later.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])]))
+            self.later.add(list(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])])))
 
     def __call__(self, texts: pa.Array, end: bytes) -> pa.Array:
         """Ids of every text and ``end``, as bytes. Equal cuts of the batch are looked up once."""
@@ -150,11 +161,9 @@ class Encoder:
         found = list(map(self.later.get, words))
         missing = [k for k, v in enumerate(found) if v is None]
         if missing:
-            if len(self.later) + len(missing) > CACHED_PIECES:  # go on with what this batch uses
-                kept = {w: v for w, v in zip(words, found) if v is not None}
-                self.later.clear()
-                self.later.update(kept)
-            self.learn([words[k] for k in missing if words[k]])
+            new = [words[k] for k in missing if words[k]]
+            self.later.room(new, [(w, v) for w, v in zip(words, found) if v is not None])
+            self.learn(new)
             for k in missing:
                 found[k] = self.later[words[k]]
         starts = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
@@ -174,13 +183,9 @@ class Encoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids.tobytes())])
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(spec: str, kind: str) -> Encoder:
     """One encoder, with the cuts it knows, for all tasks of a worker."""
-    number = zlib.crc32(spec.encode())
-    return _encoders.get(number) or _encoders.setdefault(number, Encoder(spec, kind))
+    return worker_state(("token_output", zlib.crc32(spec.encode()), kind), lambda: Encoder(spec, kind))
 
 
 def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
@@ -198,7 +203,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value, kind)
-        for batch in portions(batches, 1, 16_000_000):
+        for batch in portions(batches, 1, PORTION):
             ids = encode(batch.column(1).fill_null(""), end)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
@@ -214,7 +219,7 @@ def global_counts(tokens: DataFrame, kind: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1, dtype=np.int64)
-        for batch in portions(batches, 0, 16_000_000):
+        for batch in portions(batches, 0, PORTION):
             found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind))
             if len(found) > len(held):
                 held, found = found.astype(np.int64), held
@@ -357,7 +362,7 @@ def write_tokens(
             values = (shard, block, first, doc_ids, lengths, len(found), offsets.tolist(), stream)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, BLOCK_KINDS.values())], names=list(BLOCK_KINDS))
 
-        for batch in batches:
+        for batch in portions(batches, 1, PORTION):
             for doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc_ids.append(doc_id)
                 held.append(one)
@@ -395,7 +400,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     schema = "shard int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, 5, 4_000_000):
+        for batch in portions(batches, 5, 1_000_000):
             shard, first, doc_ids, counts, offsets, stream = (batch.column(i).to_pylist() for i in range(6))
             sizes = [sum(c) for c in counts]
             blocks = unpack(stream, [np.asarray(o, dtype=np.int64) for o in offsets], sizes, sent.value, widest, kind)
