@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortry.llm import centroid_clusters, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, suffix_dedup, token_output, toxicity
+from cohortry.llm import centroid_clusters, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle_manifest, mixing, suffix_dedup, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -83,6 +83,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest.proofs(merkle_manifest.hashed(docs, merkle_manifest.lowered(docs))).withColumnRenamed("key", "doc_id")
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))[0]
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_centroid_clusters": op13_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }
@@ -108,5 +114,6 @@ SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
     "op6_jaccard_join": jaccard_join.SQL,
     "op8_embedding_dedup": embedding_dedup.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
     "op13_centroid_clusters": centroid_clusters.SQL,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
