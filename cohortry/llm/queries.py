@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortry.llm import centroid_clusters, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle_manifest, mixing, suffix_dedup, token_output, toxicity
+from cohortry.llm import centroid_clusters, decontaminate, embedding_dedup, html_extract, jaccard_join, language_id, line_dedup, merkle_manifest, mixing, personal_data, suffix_dedup, token_output, toxicity
 from cohortry.llm.shared import remainder, table
 
 
@@ -88,6 +88,18 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(merkle_manifest.hashed(docs, merkle_manifest.lowered(docs))).withColumnRenamed("key", "doc_id")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.fit(docs))
+    own = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(own, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in personal_data.KINDS],
+        F.sha2(personal_data.joined(own), 256).alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(own)).cast("bigint").alias("n_added"),
+    )
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf_dir, "embeddings"))[0]
 
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_personal_data": op12_personal_data,
     "op13_centroid_clusters": op13_centroid_clusters,
     "pipeline": corpus_pipeline.run,
 }

@@ -26,7 +26,7 @@ def test_query_matches_sql_and_multiplies_nothing(spark, con, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in queries.QUERIES
 
 
