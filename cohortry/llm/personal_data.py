@@ -99,7 +99,7 @@ class TaggerSpec:
     examples: int = 2_000
     epochs: int = 8
     batch: int = 64
-    rate: float = 0.01
+    rate: float = 0.02
     embedding: int = 12
     hidden: int = 24
     seed: int = 12
