@@ -92,9 +92,9 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = personal_data.find(docs, personal_data.fit(docs))
     own = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return found.select(
-        "doc_id",
-        *[F.size(F.filter(own, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in personal_data.KINDS],
+        "doc_id", *[number(kind) for kind in personal_data.KINDS],
         F.sha2(personal_data.joined(own), 256).alias("base_sha256"), personal_data.joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(own)).cast("bigint").alias("n_added"),
     )

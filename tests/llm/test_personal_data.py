@@ -94,7 +94,7 @@ def test_tags_and_spans():
 @pytest.fixture(scope="module")
 def tagger():
     rng = np.random.default_rng(8)
-    return train([example(rng, []) for _ in range(1_500)], TaggerSpec(epochs=8))
+    return train([example(rng, []) for _ in range(TaggerSpec().examples)], TaggerSpec())
 
 
 def test_held_out_examples(tagger):
