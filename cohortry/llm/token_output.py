@@ -29,6 +29,8 @@ BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
 PORTION = 2_000_000
+ENCODED = 8_000_000
+LAID_OUT = 100_000
 JOINED = 4_000
 MARKS = ".,;:!?"
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -89,7 +91,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in plain.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 96_000_000), Pieces(self.whole, "", 8_000_000)
+        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 160_000_000), Pieces(self.whole, "", 8_000_000)
         blank = "\u0120"  # how byte-level vocabularies write the blank
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -170,17 +172,25 @@ class Encoder:
         counts = np.diff(np.asarray(parts.offsets))
         found += [self.first[words[c]] for c in codes[starts].tolist()] + [end]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // len(end)
-        at = np.cumsum(sizes) - sizes
-        doc = np.arange(len(texts))
-        piece = np.empty(len(codes) + len(texts), np.int64)
-        piece[np.arange(len(codes)) + np.repeat(doc, counts)] = codes
-        piece[starts + doc] = len(words) + doc
-        piece[starts + counts + doc] = len(found) - 1
-        length = sizes[piece]
-        reach = np.cumsum(length)
-        ids = np.frombuffer(b"".join(found), self.kind)[np.repeat(at[piece] - reach + length, length) + np.arange(reach[-1])]
-        cuts = np.r_[0, reach[starts + counts + doc]] * len(end)
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids.tobytes())])
+        at, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.kind)
+        # ids are laid out for some documents at a time: these arrays are far larger than the text
+        ids, lengths, x = [], [], 0
+        while x < len(texts):
+            y = max(x + 1, int(np.searchsorted(starts, starts[x] + LAID_OUT)))
+            doc, own = np.arange(y - x), starts[x:y] - starts[x]
+            count = counts[x:y]
+            words_at = codes[starts[x] : starts[x] + int(count.sum())]
+            piece = np.empty(len(words_at) + len(doc), np.int64)
+            piece[np.arange(len(words_at)) + np.repeat(doc, count)] = words_at
+            piece[own + doc] = len(words) + x + doc
+            piece[own + count + doc] = len(found) - 1
+            length = sizes[piece]
+            reach = np.cumsum(length)
+            ids.append(flat[np.repeat(at[piece] - reach + length, length) + np.arange(reach[-1])])
+            lengths.append(np.diff(reach[own + count + doc], prepend=0))
+            x = y
+        cuts = np.cumsum([0, *np.concatenate(lengths)]) * len(end)
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.concatenate(ids).tobytes())])
 
 
 def encoder(spec: str, kind: str) -> Encoder:
@@ -203,7 +213,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value, kind)
-        for batch in portions(batches, 1, PORTION):
+        for batch in portions(batches, 1, ENCODED):
             ids = encode(batch.column(1).fill_null(""), end)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
