@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortry.operators.metrics import exact_quantiles
 from cohortry.operators.skew import broadcast_checked, join_on
-from cohortry.session import cut_lineage, ship_package
+from cohortry.session import cut_lineage, saved, ship_package
 
 NEWTON_WIDTH = 300
 PASS_BYTES = 256 << 20
@@ -415,58 +416,113 @@ def _fit_newton(df: DataFrame, tasks: dict[int, FitTask], scalings, width: int,
     return fitted
 
 
+SEARCH = (
+    "task int, steps int, state int, value double, length double, first double, trial array<double>, "
+    "point array<double>, gradient array<double>, direction array<double>, moves array<array<double>>, turns array<array<double>>"
+)
+OPEN, CONVERGED, STOPPED = 0, 1, 2
+
+
+def _bent(gradient: np.ndarray, moves: list[np.ndarray], turns: list[np.ndarray]) -> np.ndarray:
+    """The quasi-Newton direction from the last moves and the turns of the gradient they brought."""
+    q, kept = gradient.copy(), []
+    for ds, dg in zip(reversed(moves), reversed(turns)):
+        a = (ds @ q) / (ds @ dg)
+        q -= a * dg
+        kept.append(a)
+    q *= (moves[-1] @ turns[-1]) / (turns[-1] @ turns[-1]) if moves else 1 / max(1.0, np.linalg.norm(q))
+    for ds, dg, a in zip(moves, turns, reversed(kept)):
+        q += ds * (a - (dg @ q) / (ds @ dg))
+    return q
+
+
+def _search_step(row: dict, loss: float, slope: np.ndarray, c: float, penalty: np.ndarray, options: FitOptions, memory: int) -> dict:
+    """The search of one task after the data term and its gradient at the trial point are known."""
+    arrays = {k: np.asarray(row[k], float) for k in ("trial", "point", "gradient", "direction") if row[k] is not None}
+    moves, turns = ([np.asarray(v, float) for v in row[k]] for k in ("moves", "turns"))
+    trial = arrays["trial"]
+    value = c * loss + 0.5 * float(penalty @ trial**2)
+    gradient = c * slope + penalty * trial
+    steps, length, size = row["steps"] + 1, row["length"], float(np.linalg.norm(gradient))
+    first = max(size, 1e-300) if row["first"] is None else row["first"]
+    started = "point" in arrays
+    if not started or value <= row["value"] - 1e-4 * length * float(arrays["gradient"] @ arrays["direction"]):
+        if started:
+            ds, dg = trial - arrays["point"], gradient - arrays["gradient"]
+            if ds @ dg > 1e-12 * np.linalg.norm(ds) * np.linalg.norm(dg):
+                moves, turns = [*moves, ds][-memory:], [*turns, dg][-memory:]
+        point, length, direction = trial, 1.0, _bent(gradient, moves, turns)
+    else:
+        value, point, gradient, direction, length = row["value"], arrays["point"], arrays["gradient"], arrays["direction"], length / 2
+    there = float(np.linalg.norm(gradient)) <= options.tolerance * first or length < 1e-10
+    state = CONVERGED if there else STOPPED if steps >= options.max_iterations else OPEN
+    return {
+        "task": row["task"], "steps": steps, "state": state, "value": value, "length": length, "first": first,
+        "trial": point if state else point - length * direction, "point": point, "gradient": gradient, "direction": direction, "moves": moves, "turns": turns,
+    }
+
+
 def _fit_gradient(df: DataFrame, tasks: dict[int, FitTask], scalings, width: int, options: FitOptions, memory: int = 10) -> dict[int, Fitted]:
-    """Limited-memory quasi-Newton steps for wide vectors: only loss and gradient per pass."""
-    penalty = _penalty(width, options)
+    """Limited-memory quasi-Newton steps for wide vectors: only loss and gradient per pass.
+
+    Points, gradients and the last moves of every search stay in a table with a row per
+    task; a step joins it with the sums of the pass and writes it anew. The driver gets the
+    next trial points, which the next pass sends to all tasks, and nothing of the history.
+    """
+    penalty, spark = _penalty(width, options), df.sparkSession
+    strengths = {n: t.c for n, t in tasks.items()}
+
+    def advance(sums: pa.Table, searches: pa.Table) -> pa.Table:
+        stats = {n: np.asarray(v) for n, v in zip(sums.column("task").to_pylist(), sums.column("stats").to_pylist())}
+        rows = [
+            _search_step(row, float(stats[row["task"]][0]), stats[row["task"]][1:], strengths[row["task"]], penalty, options, memory)
+            for row in searches.to_pylist() if row["task"] in stats
+        ]
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else [x.tolist() for x in v] if isinstance(v, list) else v
+        return pa.Table.from_pylist([{k: plain(v) for k, v in r.items()} for r in rows], schema=searches.schema)
+
+    none = (0, OPEN, 0.0, 1.0, None, [0.0] * width, None, None, None, [], [])
+    searches = spark.createDataFrame([(n, *none) for n in tasks], SEARCH)
     points = {n: np.zeros(width) for n in tasks}
-    state: dict[int, dict] = {n: {"pairs": [], "steps": 0} for n in tasks}
     fitted: dict[int, Fitted] = {}
+    while points:
+        chunks = _chunks(list(points), 1 + width)
+        passes = [_sum_pass(df, {n: tasks[n] for n in chunk}, {n: points[n] for n in chunk}, scalings, options, False) for chunk in chunks]
+        sums = reduce(DataFrame.unionByName, passes)
+        searches = saved(sums.groupBy("task").cogroup(searches.where(F.col("state") == OPEN).groupBy("task")).applyInArrow(advance, SEARCH))
+        found = {r["task"]: r for r in searches.select("task", "steps", "state", "trial").collect()}
+        lost = [tasks[n] for n in points if n not in found]
+        if lost:
+            raise ValueError(f"no training rows for {lost[0]}")
+        fitted.update({n: Fitted(tasks[n], np.asarray(r["trial"]), r["steps"], r["state"] == CONVERGED) for n, r in found.items() if r["state"] != OPEN})
+        points = {n: np.asarray(r["trial"]) for n, r in found.items() if r["state"] == OPEN}
+    return fitted
 
-    def direction(s: dict) -> np.ndarray:
-        q, kept = s["gradient"].copy(), []
-        for ds, dg in reversed(s["pairs"]):
-            a = (ds @ q) / (ds @ dg)
-            q -= a * dg
-            kept.append(a)
-        if s["pairs"]:
-            ds, dg = s["pairs"][-1]
-            q *= (ds @ dg) / (dg @ dg)
-        else:
-            q /= max(1.0, np.linalg.norm(q))
-        for (ds, dg), a in zip(s["pairs"], reversed(kept)):
-            q += ds * (a - (dg @ q) / (ds @ dg))
-        return q
 
-    while len(fitted) < len(tasks):
-        live = [n for n in tasks if n not in fitted]
-        for chunk in _chunks(live, 1 + width):
-            summed = _sum_pass(df, {n: tasks[n] for n in chunk}, {n: points[n] for n in chunk}, scalings, options, False)
-            found = {r["task"]: np.array(r["stats"]) for r in summed.collect()}
-            for n in chunk:
-                if n not in found:
-                    raise ValueError(f"no training rows for {tasks[n]}")
-                s, point, c = state[n], points[n], tasks[n].c
-                value = c * found[n][0] + 0.5 * float(penalty @ point**2)
-                gradient = c * found[n][1:] + penalty * point
-                s["steps"] += 1
-                s.setdefault("first", max(float(np.linalg.norm(gradient)), 1e-300))
-                fall = 1e-4 * s["length"] * float(s["gradient"] @ s["direction"]) if "point" in s else 0.0
-                good = "point" not in s or value <= s["value"] - fall
-                if good:
-                    if "point" in s:
-                        ds, dg = point - s["point"], gradient - s["gradient"]
-                        if ds @ dg > 1e-12 * np.linalg.norm(ds) * np.linalg.norm(dg):
-                            s["pairs"] = [*s["pairs"], (ds, dg)][-memory:]
-                    s.update(point=point, value=value, gradient=gradient, length=1.0)
-                    s["direction"] = direction(s)
-                else:
-                    s["length"] /= 2
-                converged = np.linalg.norm(s["gradient"]) <= options.tolerance * s["first"] or s["length"] < 1e-10
-                if converged or s["steps"] >= options.max_iterations:
-                    fitted[n] = Fitted(tasks[n], s["point"], s["steps"], bool(converged))
-                    continue
-                points[n] = s["point"] - s["length"] * s["direction"]
-    return fitted
+def objective_gradient(df: DataFrame, fitted: Fitted, scaling: Scaling, width: int, options: FitOptions = FitOptions()) -> DataFrame:
+    """(rows, size, start): gradient norms of the objective at a fit's coefficients and at zero, in column expressions only.
+
+    ``df`` has (vec, outcome, parts). Apart from its own plan it shares nothing with the
+    passes of the fits, so that one can check the other.
+    """
+    part = F.col("parts")[fitted.task.outer]
+    rows = df.where(part != TEST) if fitted.task.excluded is None else df.where((part != TEST) & (part != fitted.task.excluded))
+    known = lambda values: F.lit(np.asarray(values, np.float64))
+    filled = F.zip_with("vec", known(scaling.median), lambda x, m: F.when(x.isNull() | F.isnan(x), m).otherwise(x))
+    scaled = F.zip_with(F.zip_with(filled, known(scaling.mean), lambda x, m: x - m), known(scaling.scale), lambda x, s: x / s)
+    with_one = rows.select("outcome", F.concat(scaled, F.array(F.lit(1.0))).alias("x"))
+    margin = F.aggregate(F.zip_with("x", known(fitted.coefficients), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    low, high = _class_weights(scaling, options.balanced)
+    weight = F.when(F.col("outcome") == 1, high).otherwise(low)
+    off = with_one.select("x", (weight * (1 / (1 + F.exp(-margin)) - F.col("outcome"))).alias("now"), (weight * (F.lit(0.5) - F.col("outcome"))).alias("zero"))
+    times = lambda name: summed(F.transform("x", lambda v: v * F.col(name)))
+    sums = off.agg(F.count(F.lit(1)).alias("rows"), times("now").alias("now"), times("zero").alias("zero"))
+    pull = known(_penalty(width + 1, options) * fitted.coefficients)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x))
+    c = F.lit(float(fitted.task.c))
+    return sums.select(
+        "rows", norm(F.zip_with("now", pull, lambda g, w: c * g + w)).alias("size"), norm(F.transform("zero", lambda g: c * g)).alias("start")
+    )
 
 
 def fit_logistic_tasks(
