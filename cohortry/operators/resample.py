@@ -1,20 +1,29 @@
-"""Paired cluster bootstrap: whole groups drawn with replacement, weights instead of row copies."""
+"""Paired cluster bootstrap: whole groups drawn with replacement, weights instead of row copies.
+
+Rows are ordered by score once, over all tasks, and swept once for all resamples: a row
+carries how often each resample drew its group, one byte a resample, and a task keeps
+running sums per resample, whatever its number of rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.hashing import hash_cell, stable_hash
 from cohortry.operators.metrics import auroc_of_cells
-from cohortry.operators.prefix import CELL, default_cells, numbered, score_splits, single_value_cells, with_score_cells
+from cohortry.operators.prefix import CELL, default_cells, numbered
 from cohortry.operators.skew import join_on, salted_join
 from cohortry.session import cut_lineage, ship_package
 
-DRAW_BLOCK = 250
-CHUNK_ROWS = 2048
+DRAW_BLOCK = 500
+CHUNK_ROWS = 512
+#: Bytes of draws of all groups up to which every task gets them all.
+BROADCAST_BYTES = 32 << 20
 
 
 def numbered_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
@@ -47,47 +56,128 @@ def group_draws(df: DataFrame, group: str, resamples: int, seed: int) -> DataFra
     return join_on(counts, groups, ["group_no"]).select("resample", group, "times")
 
 
-def _cell_areas(cell: pd.DataFrame, keys: list[str], draw_block: int, chunk_rows: int) -> pd.DataFrame:
-    """Weighted areas of one cell for every resample of a block.
+def _multiplicities(draws: DataFrame, groups: DataFrame, group: str, resamples: int, draw_block: int) -> DataFrame:
+    """(group, block, times): how often each resample of a block drew the group, one byte each, two where a byte is too small."""
+    block = F.floor(F.col("resample") / draw_block).cast("int").alias("block")
+    lists = draws.groupBy("group_no", block).agg(F.collect_list("resample").alias("drawn"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = []
+            for k, found in zip(batch.column("block").to_pylist(), batch.column("drawn")):
+                n = np.bincount(found.values.to_numpy() - k * draw_block, minlength=min(draw_block, resamples - k * draw_block))
+                times.append(n.astype(np.uint8 if n.max() < 256 else np.uint16 if n.max() < 65_536 else np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("group_no"), batch.column("block"), pa.array(times, pa.binary())], names=["group_no", "block", "times"])
+
+    packed = lists.mapInArrow(task, "group_no bigint, block int, times binary")
+    return join_on(packed, groups, ["group_no"]).drop("group_no")
+
 
-    Rows are taken in score order, a bounded number at a time; equal scores are merged
-    before pairs are counted.
+class Sweep:
+    """Weighted areas under scores that come in order, for all resamples of a block.
+
+    The first and the last score are kept apart, since they may go on in other tasks. What
+    is held are a few numbers per resample, whatever the number of rows.
     """
-    lists, pos, neg, score = (cell[name].to_numpy() for name in ("draws", "pos", "neg", "_score"))
-    first = int(cell["block"].iloc[0]) * draw_block
-    width = max(int(d.max()) for d in lists) - first + 1
-    order = np.argsort(score, kind="stable")
-    upto, area = np.zeros(width, np.int64), np.zeros(width)
-    positives = np.zeros(width, np.int64)
-    tie, tie_pos, tie_neg = None, np.zeros(width, np.int64), np.zeros(width, np.int64)
-    for start in range(0, len(order), chunk_rows):
-        rows = order[start:start + chunk_rows]
-        sizes = np.array([len(d) for d in lists[rows]])
-        flat = np.repeat(np.arange(len(rows)), sizes) * width + np.concatenate(lists[rows]) - first
-        times = np.bincount(flat, minlength=len(rows) * width).reshape(len(rows), width)
-        values = score[rows]
-        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        run_pos = np.add.reduceat(times * pos[rows, None], starts, axis=0)
-        run_neg = np.add.reduceat(times * neg[rows, None], starts, axis=0)
-        if tie is not None and values[0] == tie:
-            run_pos[0] += tie_pos
-            run_neg[0] += tie_neg
-        elif tie is not None:
-            run_pos, run_neg = np.vstack([tie_pos, run_pos]), np.vstack([tie_neg, run_neg])
-        # the last score may go on in the next chunk
-        tie, tie_pos, tie_neg = values[-1], run_pos[-1].copy(), run_neg[-1].copy()
-        done_pos, done_neg = run_pos[:-1], run_neg[:-1]
-        before = upto + np.cumsum(done_neg, axis=0)
-        area += (done_pos.astype(float) * (2 * before - done_neg)).sum(axis=0)
-        positives += done_pos.sum(axis=0)
-        upto += done_neg.sum(axis=0)
-    upto += tie_neg
-    area += tie_pos.astype(float) * (2 * upto - tie_neg)
-    positives += tie_pos
-    result = pd.DataFrame({"resample": first + np.arange(width), "twice_area": area, "pos": positives, "neg": upto})
-    for key in [*keys, CELL]:
-        result[key] = cell[key].iloc[0]
-    return result[(result["pos"] > 0) | (result["neg"] > 0)]
+
+    def __init__(self, width: int):
+        self.width = width
+        self.runs: list[tuple[float, np.ndarray, np.ndarray]] = []  # the first score, and the present one
+        self.area, self.pos, self.neg = np.zeros(width), np.zeros(width, np.int64), np.zeros(width, np.int64)
+
+    def add(self, score: np.ndarray, times: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Rows in order of their score; ``times`` has a row for each and a column per resample."""
+        new = np.flatnonzero(np.r_[True, (score[1:] != score[:-1]) & ~(np.isnan(score[1:]) & np.isnan(score[:-1]))])
+        # products and their sums stay in four bytes where they fit
+        fits = int(times.max()) * (int(pos.sum()) + int(neg.sum())) < 2**31
+        wide = np.int32 if fits else np.int64
+        run_pos, run_neg = (np.add.reduceat(times * side.astype(wide)[:, None], new, axis=0) for side in (pos, neg))
+        start = 0
+        if self.runs and (self.runs[-1][0] == score[0] or (np.isnan(score[0]) and np.isnan(self.runs[-1][0]))):
+            self.runs[-1][1][:] += run_pos[0]
+            self.runs[-1][2][:] += run_neg[0]
+            start = 1
+        if start < len(new):
+            if len(self.runs) > 1:
+                self._pass(self.runs[-1][1][None, :], self.runs[-1][2][None, :])
+                self.runs.pop()
+            if not self.runs and start < len(new):
+                self.runs.append((float(score[new[start]]), run_pos[start].astype(np.int64), run_neg[start].astype(np.int64)))
+                start += 1
+            if start < len(new):
+                self._pass(run_pos[start:-1], run_neg[start:-1])
+                self.runs.append((float(score[new[-1]]), run_pos[-1].astype(np.int64), run_neg[-1].astype(np.int64)))
+
+    def _pass(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        """Whole scores behind the first one."""
+        if not len(pos):
+            return
+        upto = np.cumsum(neg, axis=0, dtype=np.int64)
+        before = self.neg + upto - neg
+        self.area += np.einsum("ij,ij->j", pos.astype(np.float64), (2 * before + neg).astype(np.float64))
+        self.pos += pos.sum(axis=0, dtype=np.int64)
+        self.neg += upto[-1]
+
+    def pieces(self) -> Iterator[tuple[float, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(score, kind, twice_area, pos, neg): scores that may go on elsewhere (kind 0), and what lies between them (kind 1)."""
+        for score, pos, neg in self.runs:
+            yield score, 0, np.zeros(self.width), pos, neg
+        if self.pos.any() or self.neg.any():
+            yield self.runs[0][0], 1, self.area, self.pos, self.neg
+
+
+def _swept(rows: DataFrame, keys: list[str], resamples: int, draw_block: int, chunk_rows: int) -> DataFrame:
+    """Pieces per (keys, resample) of rows (keys, block, _score, pos, neg, times) that are in order of keys and score."""
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = "resample bigint, _at double, kind int, twice_area double, pos bigint, neg bigint, " + ", ".join(f"`{k}` {fields[k]}" for k in keys)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sweeps: dict[int, Sweep] = {}
+        last, kinds = None, []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for block, sweep in sweeps.items():
+                for score, kind, area, pos, neg in sweep.pieces():
+                    own = np.flatnonzero((pos > 0) | (neg > 0))
+                    n = len(own)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(own + block * draw_block, pa.int64()), pa.array(np.full(n, score)), pa.array(np.full(n, kind), pa.int32()),
+                        pa.array(area[own]), pa.array(pos[own], pa.int64()), pa.array(neg[own], pa.int64()),
+                        *[pa.array([v] * n, k) for v, k in zip(last, kinds)],
+                    ], names=["resample", "_at", "kind", "twice_area", "pos", "neg", *keys])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(k).type for k in keys]
+            names = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            score, pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_score", "pos", "neg"))
+            blocks, times = batch.column("block").to_numpy(), batch.column("times")
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if last is not None and names[a] != last:
+                    yield from told()
+                    sweeps = {}
+                last = names[a]
+                for block in np.unique(blocks[a:b]).tolist():
+                    width = min(draw_block, resamples - block * draw_block)
+                    sweep = sweeps.setdefault(block, Sweep(width))
+                    own = a + np.flatnonzero(blocks[a:b] == block)
+                    for start in range(0, len(own), chunk_rows):
+                        rows = own[start : start + chunk_rows]
+                        sweep.add(score[rows], _unpacked(times.take(pa.array(rows)), width), pos[rows], neg[rows])
+        if last is not None:
+            yield from told()
+
+    return rows.mapInArrow(task, schema)
+
+
+def _unpacked(times: pa.Array, width: int) -> np.ndarray:
+    """Rows of draws, straight from the buffer where every row has one byte a resample."""
+    raw = times.to_pylist()
+    if all(len(r) == width for r in raw):
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    return np.stack([np.frombuffer(r, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(r) // width]).astype(np.int64) for r in raw])
 
 
 def group_counts(df: DataFrame, group: str, keys: list[str], y: str, score: str) -> DataFrame:
@@ -115,40 +205,31 @@ def resampled_auroc(
 ) -> DataFrame:
     """AUROC per (resample, keys) under the group draws, from ``group_counts``.
 
-    Each count meets the list of its group's draws, in blocks of resamples; a group that
-    holds much of the data is split over many tasks for that. No row is copied per
-    resample. Within a cell of scores the weights of all resamples are summed as arrays;
-    cells hold about equal row counts, and a score with very many rows has its own cell,
-    where only sums are needed and are taken by a plain aggregate. What crosses cells is
-    one small row per cell and resample.
+    Counts are dealt by ranges of (keys, score), a score that very many groups share over
+    several tasks, and swept in order. Draws that all tasks can hold are sent to them;
+    otherwise each count meets its group's draws first, and a group that holds much of the
+    data is split over many tasks for that. No row is copied per resample. What tasks send
+    on are at most three rows per keys and resample, whatever they read.
     """
     ship_package(counts.sparkSession)
-    splits = score_splits(counts, score)
-    collapsed = with_score_cells(counts, score, splits)
     draws, groups = _draws(counts, group, resamples, seed)
-    block = F.floor(F.col("resample") / draw_block).cast("int").alias("block")
-    lists = join_on(
-        draws.groupBy("group_no", block).agg(F.collect_list("resample").alias("draws")), groups, ["group_no"]
-    ).drop("group_no")
-    drawn = salted_join(collapsed, lists, [group], F.col(score)).select(
-        *keys, CELL, "block", F.col(score).alias("_score"), "pos", "neg", "draws"
+    times = _multiplicities(draws, groups, group, resamples, draw_block)
+    collapsed = counts.select(*keys, group, F.col(score).cast("double").alias("_score"), "pos", "neg")
+    order = [*keys, "_score", F.xxhash64(group)]
+    if groups.count() * resamples <= BROADCAST_BYTES:
+        renamed = times.withColumnRenamed(group, "_g")
+        placed = collapsed.repartitionByRange(*order)
+        drawn = placed.join(F.broadcast(renamed), placed[group].eqNullSafe(renamed["_g"]))
+    else:
+        drawn = salted_join(collapsed, times, [group], F.col("_score")).repartitionByRange(*order)
+    # Spark drops a sort below a join, so it stands behind it
+    in_order = drawn.select(*keys, "block", "_score", "pos", "neg", "times").sortWithinPartitions(*keys, "_score")
+    pieces = _swept(in_order, keys, resamples, draw_block, chunk_rows)
+    cells = pieces.groupBy("resample", *keys, F.struct("_at", "kind").alias(CELL)).agg(
+        F.sum("twice_area").alias("_area"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    kinds = {f.name: f.dataType.simpleString() for f in drawn.schema}
-    schema = "resample bigint, twice_area double, pos bigint, neg bigint, " + ", ".join(
-        f"`{k}` {kinds[k]}" for k in [*keys, CELL]
-    )
-    alone = single_value_cells(splits)
-    ordered = drawn.where(~F.col(CELL).isin(alone)) if alone else drawn
-    areas = ordered.groupBy(*keys, CELL, "block").applyInPandas(lambda cell: _cell_areas(cell, keys, draw_block, chunk_rows), schema)
-    if alone:
-        tied = (
-            drawn.where(F.col(CELL).isin(alone))
-            .select(*keys, CELL, "pos", "neg", F.explode("draws").alias("resample"))
-            .groupBy("resample", *keys, CELL)
-            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        )
-        areas = areas.unionByName(tied.withColumn("twice_area", F.col("pos").cast("double") * F.col("neg")))
-    return auroc_of_cells(areas, ["resample", *keys])
+    tied = F.when(F.col(CELL)["kind"] == 0, F.col("pos").cast("double") * F.col("neg")).otherwise(F.col("_area"))
+    return auroc_of_cells(cells.withColumn("twice_area", tied).drop("_area"), ["resample", *keys])
 
 
 def cluster_bootstrap(

@@ -56,18 +56,52 @@ def test_bootstrap_matches_row_copies(spark, chunk):
         assert got[r] == pytest.approx(want[r], abs=1e-12)
 
 
-def test_tied_scores_across_chunks(spark):
-    import pandas as pd
-
-    cell = pd.DataFrame(
-        {"draws": [np.array([0, 1, 1]), np.array([1]), np.array([0, 0]), np.array([1, 0])], "pos": [1, 0, 2, 0],
-         "neg": [0, 3, 1, 1], "_score": [0.5, 0.5, 0.5, 0.7], "block": 0, "_cell": 3}
-    )
-    whole = resample._cell_areas(cell, [], 250, 2048)
-    pd.testing.assert_frame_equal(whole, resample._cell_areas(cell, [], 250, 1))
-    # resample 0: scores 0.5 have pos 1+2*2, neg 2; score 0.7 has neg 1
-    assert list(whole["pos"]) == [5, 2] and list(whole["neg"]) == [3, 4]
-    assert list(whole["twice_area"]) == [5 * 2, 2 * 3]
+def brute_pieces(score, times, pos, neg):
+    """Twice the area, positives and negatives of every resample, pair by pair."""
+    w_pos, w_neg = times * pos[:, None], times * neg[:, None]
+    wins = 2 * (score[:, None] > score[None, :]) + (score[:, None] == score[None, :]).astype(int)
+    return np.einsum("ir,ij,jr->r", w_pos.astype(float), wins.astype(float), w_neg.astype(float)), w_pos.sum(0), w_neg.sum(0)
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [40], [3, 4, 5, 70], [10, 20, 30, 40, 50, 60, 70, 80, 90]])
+@pytest.mark.parametrize("big", [1, 10**9])
+def test_sweeps_over_any_cut_add_up(cuts, big):
+    """Tasks cut the rows anywhere, also inside a score; their pieces give the whole area."""
+    rng = np.random.default_rng(len(cuts))
+    score = np.sort(rng.integers(0, 25, 100) / 10)
+    times, pos, neg = rng.integers(0, 4, (100, 7)).astype(np.uint8), rng.integers(0, 3, 100) * big, rng.integers(0, 3, 100) * big
+    found = {}
+    for a, b in zip([0, *cuts], [*cuts, 100]):
+        sweep = resample.Sweep(7)
+        for start in range(a, b, 9):
+            rows = slice(start, min(b, start + 9))
+            sweep.add(score[rows], times[rows], pos[rows], neg[rows])
+        for at, kind, area, p, n in sweep.pieces():
+            old = found.get((at, kind), (0, 0, 0))
+            found[(at, kind)] = (old[0] + area, old[1] + p, old[2] + n)
+    area, before = np.zeros(7), np.zeros(7)
+    for (_, kind), (inner, p, n) in sorted(found.items()):
+        area += (p.astype(float) * n if kind == 0 else inner) + 2.0 * p * before
+        before = before + n
+    want = brute_pieces(score, times, pos, neg)
+    assert area == pytest.approx(want[0], rel=1e-12)
+    assert (sum(v[1] for v in found.values()) == want[1]).all() and (before == want[2]).all()
+
+
+def test_draws_that_do_not_fit_every_task(spark, monkeypatch):
+    rows, df = predictions(spark, n=80)
+    sent = resample.cluster_bootstrap(df, "group_id", "model", "outcome", "probability", 9, 2, draw_block=4).orderBy("resample").collect()
+    monkeypatch.setattr(resample, "BROADCAST_BYTES", 0)
+    met = resample.cluster_bootstrap(df, "group_id", "model", "outcome", "probability", 9, 2, draw_block=4).orderBy("resample").collect()
+    assert [tuple(r) for r in sent] == [pytest.approx(tuple(r), abs=1e-12) for r in met]
+
+
+def test_a_group_drawn_more_than_255_times(spark):
+    draws = spark.range(700).selectExpr("0L as resample", "0L as group_no")
+    groups = spark.createDataFrame([("g", 0)], "group_id string, group_no bigint")
+    row = resample._multiplicities(draws, groups, "group_id", 3, 3).first()
+    assert np.frombuffer(row["times"], np.uint16).tolist() == [700, 0, 0]
+    assert resample._unpacked(__import__("pyarrow").array([bytes(row["times"]), b"\x01\x02\x03"]), 3).tolist() == [[700, 0, 0], [1, 2, 3]]
 
 
 def test_many_blocks_of_resamples(spark):
