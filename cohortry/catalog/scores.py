@@ -429,8 +429,12 @@ select model, round(a, 5) as calibration_intercept, round(b, 5) as calibration_s
         + verdict_sql("ci_lower", "ci_upper", 0.03) + " as region from p cross join i) "
         "select round(delta_auroc, 6) as delta_auroc, round(ci_lower, 6) as ci_lower, round(ci_upper, 6) as ci_upper, "
         "successful, region, " + wording_sql("region") + " as interpretation from v"),
+    "e3_cluster_bootstrap_500": (
+        partial(e3, resamples=500), f"with {views.PREDICTIONS}" + draws_sql("predictions", True, SEED, 500) + " select resample, round(delta, 6) as delta from draws"),
     "e3_cluster_bootstrap_2000": (whole(e3), None),
-    "e4_single_pass_bootstrap_2000": (whole(e4), None),
+    "e4_single_pass_bootstrap_2000": (
+        whole(e4), f"with {views.PREDICTIONS}, single as (select * from predictions where repeat = 0 and release = 'added')"
+                   + draws_sql("single", False, SEED + 1, WHOLE) + " select resample, round(delta, 6) as delta from draws"),
     "a7_percentile_interval_2000": (whole(a7), None),
     "j13_group_draws_2000": (whole(j13), None),
     "estimate_2000": (whole(estimate_row), None),
