@@ -209,3 +209,39 @@ def test_missing_features_are_an_error(spark):
         vectors.assemble_blocks(ids, tables, [vectors.Block("x", 1)])
     blocks = [vectors.Block("a", 2), vectors.Block("b", 3, False), vectors.Block("c", 1)]
     assert vectors.continuous_positions(blocks) == [0, 1, 5]
+
+
+def sequential(n, rank, pairs):
+    """Visit by rank; (leader of each node)."""
+    around = {i: set() for i in range(n)}
+    for a, b in pairs:
+        around[a].add(b)
+        around[b].add(a)
+    leader = {}
+    for i in sorted(range(n), key=rank):
+        if i not in leader:
+            leader[i] = i
+            for j in around[i]:
+                leader.setdefault(j, i)
+    return leader
+
+
+@pytest.mark.parametrize("shape", ["chain", "two chains that meet", "random", "star of chains"])
+def test_rounds_stay_few_on_chains(spark, monkeypatch, shape):
+    """Ranks fall along a chain, so a node knows nothing before all nodes ahead of it do."""
+    n, rng = 700, random.Random(3)
+    pairs = {
+        "chain": [(i, i + 1) for i in range(n - 1)],
+        "two chains that meet": [(i, i + 2) for i in range(n - 2)] + [(n - 2, n - 1), (100, 101)],
+        "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(900)],
+        "star of chains": [(0, i) for i in range(1, 40)] + [(i, i + 39) for i in range(1, n - 39)],
+    }[shape]
+    pairs = pairs + [pairs[0], pairs[5][::-1], (7, 7)]
+    nodes = spark.createDataFrame([(i, n - i) for i in range(n)], "rep bigint, neighbours bigint")
+    rounds = []
+    write = groups.saved
+    monkeypatch.setattr(groups, "saved", lambda df: rounds.append(1) or write(df))
+    monkeypatch.setattr("cohortry.operators.prefix.CELL_ROWS", 1000)
+    got = {r["rep"]: r["leader"] for r in groups.leader_clusters(nodes, spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == sequential(n, lambda i: i, pairs)
+    assert len(rounds) <= 18
