@@ -29,7 +29,7 @@ BLOCK_IDS = 65_536
 SHARD_IDS = 4_000_000
 MAX_BITS = 18
 PORTION = 2_000_000
-ENCODED = 8_000_000
+ENCODED = 16_000_000
 LAID_OUT = 100_000
 JOINED = 4_000
 MARKS = ".,;:!?"
@@ -91,7 +91,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in plain.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 160_000_000), Pieces(self.whole, "", 8_000_000)
+        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 260_000_000), Pieces(self.whole, "", 8_000_000)
         blank = "\u0120"  # how byte-level vocabularies write the blank
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
