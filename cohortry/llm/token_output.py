@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.shared import Bounded, in_tasks, portions, shared_folder, spread_rows, worker_state, written
+from cohortry.llm.shared import in_tasks, portions, shared_folder, spread_rows, worker_state, written
 
 CHECKPOINT = 256
 BLOCK_IDS = 65_536
@@ -30,6 +30,7 @@ SHARD_IDS = 4_000_000
 MAX_BITS = 18
 PORTION = 2_000_000
 ENCODED = 16_000_000
+ENTRY_BYTES = 288
 LAID_OUT = 100_000
 JOINED = 4_000
 MARKS = ".,;:!?"
@@ -43,29 +44,25 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in visible} | {b: 0x100 + i for i, b in enumerate(rest)}
 
 
-class Pieces(Bounded):
-    """Ids of text pieces as bytes, encoded once and kept up to a bound."""
-
-    each = 280
+class Pieces(dict):
+    """Ids of text pieces as bytes, encoded once and kept up to about ``limit`` bytes."""
 
     def __init__(self, encode, prefix: str, limit: int):
         super().__init__()
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.encode, self.prefix, self.most = encode, prefix, limit // ENTRY_BYTES
 
     def __missing__(self, piece: str) -> bytes:
-        return self.keep(piece, self.encode(self.prefix + piece))
-
-    def add(self, pairs: list[tuple[str, bytes]]) -> None:
-        """Keep all of these for now; ``room`` is what bounds them."""
-        self.held += sum(len(p) + self.each for p, _ in pairs)
-        self.update(pairs)
+        if len(self) >= self.most:
+            self.clear()
+        found = self[piece] = self.encode(self.prefix + piece)
+        return found
 
-    def room(self, pieces: list[str], used: list[tuple[str, bytes]]) -> None:
-        """Before new pieces go in: beyond the limit, only what is used now stays."""
-        if self.held + sum(len(p) + self.each for p in pieces) > self.limit:
+    def room(self, new: int, used) -> None:
+        """Before ``new`` pieces go in: beyond the limit, only what ``used`` gives stays."""
+        if len(self) + new > self.most:
+            kept = used()
             self.clear()
-            self.held = 0
-            self.add(used)
+            self.update(kept)
 
 
 class Encoder:
@@ -125,11 +122,11 @@ class Encoder:
         stems = {p[:-1] for p in marked} - self.later.keys()
         self._learn([p for p in pieces if not (p[-1] in MARKS and p[-2:-1].isalpha())] + list(stems))
         later, alone = self.later, self.runs
-        self.later.add([(p, later[p[:-1]] + alone[p[-1]]) for p in marked])
+        self.later.update([(p, later[p[:-1]] + alone[p[-1]]) for p in marked])
 
     def _learn(self, pieces: list[str]) -> None:
         """A cut of letters alone is one piece, which the model can take at once; others are joined."""
-        self.later.add([(p, self._letters("\u0120", p)) for p in pieces if p.isalpha()])
+        self.later.update([(p, self._letters("\u0120", p)) for p in pieces if p.isalpha()])
         width, pieces = np.dtype(self.kind).itemsize, [p for p in pieces if not p.isalpha()]
         for a in range(0, len(pieces), JOINED):
             part = pieces[a : a + JOINED]
@@ -138,7 +135,7 @@ class Encoder:
             if len(cuts) != len(part) or cuts[0] != 0:
                 continue  # encoded one by one when they are looked up
             raw, cuts = ids.tobytes(), [*(cuts * width).tolist(), len(ids) * width]
-            self.later.add(list(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])])))
+            self.later.update(zip(part, [raw[x:y] for x, y in zip(cuts, cuts[1:])]))
 
     def __call__(self, texts: pa.Array, end: bytes) -> pa.Array:
         """Ids of every text and ``end``, as bytes. Equal cuts of the batch are looked up once."""
@@ -164,7 +161,7 @@ class Encoder:
         missing = [k for k, v in enumerate(found) if v is None]
         if missing:
             new = [words[k] for k in missing if words[k]]
-            self.later.room(new, [(w, v) for w, v in zip(words, found) if v is not None])
+            self.later.room(len(new), lambda: [(w, v) for w, v in zip(words, found) if v is not None])
             self.learn(new)
             for k in missing:
                 found[k] = self.later[words[k]]
