@@ -51,7 +51,7 @@ def a8(spark, d):
 def a8_wide(spark, d):
     """The same check from one fold column per repeat."""
     wide = views.cohort(spark, d).select(
-        "id", "group_id", *[(stable_hash(23, F.lit(r), "group_id") % 5).cast("int").alias(f"fold_{r}") for r in range(3)]
+        "id", "group_id", *[(stable_hash(23, F.lit(r), "group_id") % 5).cast("int").alias(f"fold_{r}") for r in range(views.REPEATS)]
     )
     long = contracts.long_folds(wide, ["id", "group_id"], "fold_")
     return long.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("rows"))
@@ -265,7 +265,7 @@ ENTRIES = {
             "else fold end as fold from fold_rows) select group_id, repeat, min(fold) as lowest_fold, max(fold) as highest_fold "
             "from moved group by all having min(fold) <> max(fold)"),
     "a8_unpivot_folds": (
-        a8_wide, f"with {views.FOLD_ROWS} select repeat, fold, count(*) as rows from fold_rows where repeat < 3 group by all"),
+        a8_wide, f"with {views.FOLD_ROWS} select repeat, fold, count(*) as rows from fold_rows group by all"),
     "a9_pairing_violations": (a9, f"with {FAULTY}{A9_BODY} select * from pairs"),
     "a12_id_digest": (
         a12, f"with {views.COHORT}, hashed as (select sha256(id) as h from (select distinct id::varchar as id from cohort)), "
