@@ -156,7 +156,7 @@ class Encoder:
     def _by_words(self, texts: pa.Array, end: bytes) -> pa.Array:
         parts = pc.split_pattern(texts, " ")
         coded = parts.flatten().dictionary_encode()
-        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        codes, words = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.later.get, words))
         missing = [k for k, v in enumerate(found) if v is None]
         if missing:
