@@ -321,6 +321,20 @@ METRIC_LIST = "auroc, pr_auroc, brier, sensitivity, specificity, precision, bala
 ROUNDED = ", ".join(f"round({m}, 6) as {m}" for m in metrics.BUNDLE)
 MEANS = ", ".join(f"round(avg({m}), 6) as {m}" for m in METRIC_LIST.split(", "))
 
+#: What follows the ``predictions`` and ``draws`` CTEs: the one row of an estimate.
+VERDICT_SQL = (
+    f", i as ({INTERVAL}), p as (select avg(delta) as delta_auroc from ("
+    "select repeat, max(auroc) filter (model = 'D') - max(auroc) filter (model = 'B') as delta from ("
+    "select model, repeat, (sum(rk) filter (outcome = 1) - count_if(outcome = 1) * (count_if(outcome = 1) + 1) / 2.0) "
+    "/ (count_if(outcome = 1)::double * count_if(outcome = 0)) as auroc from ("
+    "select *, rank() over (partition by model, repeat order by probability) + "
+    "(count(*) over (partition by model, repeat, probability) - 1) / 2.0 as rk from predictions) "
+    "group by model, repeat) group by repeat)), v as (select *, "
+    + verdict_sql("ci_lower", "ci_upper", 0.03) + " as region from p cross join i) "
+    "select round(delta_auroc, 6) as delta_auroc, round(ci_lower, 6) as ci_lower, round(ci_upper, 6) as ci_upper, "
+    "successful, region, " + wording_sql("region") + " as interpretation from v"
+)
+
 ENTRIES = {
     "x1_auroc": (x1, f"with {AUROC_SQL} select model, repeat, round(auroc, 6) as auroc from aurocs"),
     "x2_average_precision": (
@@ -419,16 +433,7 @@ select model, round(a, 5) as calibration_intercept, round(b, 5) as calibration_s
                    "as max_endpoint_shift from events group by event_type"),
     "estimate": (
         estimate_row,
-        f"with {BOOT_SQL}, i as ({INTERVAL}), p as (select avg(delta) as delta_auroc from ("
-        "select repeat, max(auroc) filter (model = 'D') - max(auroc) filter (model = 'B') as delta from ("
-        "select model, repeat, (sum(rk) filter (outcome = 1) - count_if(outcome = 1) * (count_if(outcome = 1) + 1) / 2.0) "
-        "/ (count_if(outcome = 1)::double * count_if(outcome = 0)) as auroc from ("
-        "select *, rank() over (partition by model, repeat order by probability) + "
-        "(count(*) over (partition by model, repeat, probability) - 1) / 2.0 as rk from predictions) "
-        "group by model, repeat) group by repeat)), v as (select *, "
-        + verdict_sql("ci_lower", "ci_upper", 0.03) + " as region from p cross join i) "
-        "select round(delta_auroc, 6) as delta_auroc, round(ci_lower, 6) as ci_lower, round(ci_upper, 6) as ci_upper, "
-        "successful, region, " + wording_sql("region") + " as interpretation from v"),
+        f"with {BOOT_SQL}{VERDICT_SQL}"),
     "e3_cluster_bootstrap_500": (
         partial(e3, resamples=500), f"with {views.PREDICTIONS}" + draws_sql("predictions", True, SEED, 500) + " select resample, round(delta, 6) as delta from draws"),
     "e3_cluster_bootstrap_2000": (whole(e3), None),

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortry.functions.scores import clipped_logit
-from cohortry.operators.prefix import CELL, running_sums, score_splits, with_score_cells
-from cohortry.operators.skew import hot_keys, is_small, join_on, salted_join, whole_row
+from cohortry.operators.prefix import CELL, running_sums, score_splits, single_value_cells, with_score_cells
+from cohortry.operators.skew import SALTS, hot_keys, is_small, join_on, salted_join, whole_row
 from cohortry.session import cut_lineage
 
 BUNDLE = [
@@ -303,14 +303,29 @@ def evaluate(df: DataFrame, keys: list[str], y: str, score: str, threshold: str)
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, splits: list[float] | None = None) -> DataFrame:
-    """Add the mean rank of each value within keys, ties sharing it."""
+    """Add the mean rank of each value within keys, ties sharing it.
+
+    NULL ranks after all numbers and NaN after NULL, each as one tie. Rows cross the network
+    once: a table with a row per key and cell says how many rows lie before a cell, and rows
+    are ordered inside it only. In a cell of one value every row has the same rank, which that
+    table gives, so such a cell is spread over many tasks however large it is.
+    """
     if splits is None:
         splits = score_splits(df, value)
-    celled = with_score_cells(df, value, splits)
-    counts = celled.groupBy(*keys, CELL, value).agg(F.count(F.lit(1)).alias("_peers"))
-    upto = running_sums(counts, keys, [F.col(value)], {"_upto": F.col("_peers")})
-    ranked = upto.withColumn("average_rank", F.col("_upto") - (F.col("_peers") - 1) / F.lit(2.0))
-    return salted_join(df, ranked.select(*keys, value, "average_rank"), [*keys, value], whole_row(df))
+    last, number = len(splits) + 1, F.col(value).cast("double")
+    cell = F.when(number.isNull(), last).when(F.isnan(number), last + 1).otherwise(F.col(CELL))
+    celled = with_score_cells(df, value, splits).withColumn(CELL, cell)
+    sizes = celled.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_own"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut_lineage(sizes.withColumn("_before", F.coalesce(F.sum("_own").over(earlier), F.lit(0))))
+    on = [*keys, CELL]
+    placed = join_on(celled, F.broadcast(offsets), on) if is_small(offsets) else salted_join(celled, offsets, on, whole_row(celled))
+    tied = F.col(CELL).isin([*single_value_cells(splits), last, last + 1])
+    spread = placed.withColumn("_salt", F.when(tied, F.monotonically_increasing_id() % SALTS).otherwise(0))
+    inside = Window.partitionBy(*on, "_salt").orderBy(value)
+    within = F.rank().over(inside) + F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rank = F.col("_before") + F.when(tied, F.col("_own") + 1).otherwise(within) / F.lit(2.0)
+    return spread.withColumn("average_rank", rank).drop(CELL, "_own", "_before", "_salt")
 
 
 def roc_curve(

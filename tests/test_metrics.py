@@ -210,3 +210,22 @@ def test_metrics_do_not_depend_on_input_order(spark):
 def test_interval_regions(spark, lower, upper, region):
     df = spark.createDataFrame([(lower, upper)], "l double, u double")
     assert df.select(interval_verdict(F.col("l"), F.col("u"), 0.03)).first()[0] == region
+
+
+def test_average_rank_matches_counting(spark):
+    """Ties, a value held by a third of the rows, NULL and NaN, with borders on and between values."""
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in rng.integers(0, 40, 400)] + [7.5] * 200 + [None] * 5 + [float("nan")] * 4
+    rows = [(k, i, v) for k in ("a", "b", None) for i, v in enumerate(values[: 500 if k == "a" else None])]
+    df = spark.createDataFrame(rows, "k string, i int, v double").repartition(5)
+    order = lambda v: (2, 0.0) if v is None else (3, 0.0) if v != v else (1, v)
+    expected = {}
+    for key in ("a", "b", None):
+        own = [(i, order(v)) for k, i, v in rows if k == key]
+        ranks = {x: sum(y < x for _, y in own) + (sum(y == x for _, y in own) + 1) / 2 for x in {x for _, x in own}}
+        expected |= {(key, i): ranks[x] for i, x in own}
+    for splits in (None, [], [7.5, np.nextafter(7.5, np.inf)], [3.0, 7.5, np.nextafter(7.5, np.inf), 20.2]):
+        got = metrics.average_rank(df, ["k"], "v", splits)
+        assert got.columns == ["k", "i", "v", "average_rank"]
+        assert {(r["k"], r["i"]): r["average_rank"] for r in got.collect()} == expected
+    assert metrics.average_rank(df.where("false"), ["k"], "v").count() == 0
