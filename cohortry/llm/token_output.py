@@ -30,6 +30,7 @@ SHARD_IDS = 4_000_000
 MAX_BITS = 18
 PORTION = 2_000_000
 ENCODED = 16_000_000
+KNOWN = 260_000_000
 ENTRY_BYTES = 288
 LAID_OUT = 100_000
 JOINED = 4_000
@@ -75,7 +76,7 @@ class Encoder:
     texts that hold an added token, are encoded whole.
     """
 
-    def __init__(self, spec: str, kind: str):
+    def __init__(self, spec: str, kind: str, known: int = KNOWN):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -88,7 +89,7 @@ class Encoder:
         )
         self.added = [t["content"] for t in plain.get("added_tokens", [])]
         self.model = self.tokenizer.model
-        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", 260_000_000), Pieces(self.whole, "", 8_000_000)
+        self.first, self.later, self.runs = Pieces(self.head, "", 8_000_000), Pieces(self.whole, " ", known), Pieces(self.whole, "", 8_000_000)
         blank = "\u0120"  # how byte-level vocabularies write the blank
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.starts = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -190,14 +191,19 @@ class Encoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.concatenate(ids).tobytes())])
 
 
-def encoder(spec: str, kind: str) -> Encoder:
+def encoder(spec: str, kind: str, known: int) -> Encoder:
     """One encoder, with the cuts it knows, for all tasks of a worker."""
-    return worker_state(("token_output", zlib.crc32(spec.encode()), kind), lambda: Encoder(spec, kind))
+    return worker_state(("token_output", zlib.crc32(spec.encode()), kind, known), lambda: Encoder(spec, kind, known))
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
+def tokenise(
+    docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", encoded: int = ENCODED, known: int = KNOWN
+) -> DataFrame:
     """(doc_id, ids): token ids of every whole text and the end id, as little-endian bytes.
 
+    A worker encodes about ``encoded`` bytes of text at once and keeps encoded cuts up to
+    about ``known`` bytes. Both trade memory for time; the ids do not depend on them.
+
     Two bytes an id where the vocabulary allows, else four. The vocabulary file is read
     here and sent to the tasks; null text has the end id only.
     """
@@ -209,8 +215,8 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -
     end = np.asarray([end_id], dtype=kind).tobytes()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(sent.value, kind)
-        for batch in portions(batches, 1, ENCODED):
+        encode = encoder(sent.value, kind, known)
+        for batch in portions(batches, 1, encoded):
             ids = encode(batch.column(1).fill_null(""), end)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
@@ -324,7 +330,8 @@ BLOCK_KINDS = {
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, max_bits: int = MAX_BITS, shard_ids: int = SHARD_IDS
+    docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, max_bits: int = MAX_BITS, shard_ids: int = SHARD_IDS,
+    encoded: int = ENCODED, known: int = KNOWN,
 ) -> str:
     """Tokenise ``docs`` and write their ids by ascending ``doc_id``; returns the folder.
 
@@ -334,10 +341,11 @@ def write_tokens(
     ``shard_ids`` ids. A block holds whole documents, closed once it has ``BLOCK_IDS`` ids.
     Null ids come first; rows with one id follow each other by their ids, and repeated rows
     are written as often as they come. Null text is an empty text; other columns are ignored.
+    ``encoded`` and ``known`` bound a worker's memory, as in ``tokenise``.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark)
-    tokens = written(tokenise(docs, tokenizer, end_id))
+    tokens = written(tokenise(docs, tokenizer, end_id, encoded=encoded, known=known))
     from tokenizers import Tokenizer
 
     kind = id_kind(max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end_id))

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cohortry.llm.token_output import Encoder, canonical, code_lengths, pack, read_tokens, unpack, write_tokens
+from cohortry.llm.token_output import ENTRY_BYTES, Encoder, canonical, code_lengths, pack, read_tokens, tokenise, unpack, write_tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -84,3 +84,10 @@ def test_files_hold_every_id_in_order(spark):
         assert r["ids_crc32"] == zlib.crc32(np.asarray(r["ids"], "<u4").tobytes())
         place += r["n_tokens"]
     assert read_tokens(spark, write_tokens(df.limit(0), PATH, 2)).count() == 0
+
+
+def test_memory_bounds_of_a_worker_change_no_id(spark):
+    rows = [(i, f"word{i % 90} and, marks{i}! {'tail ' * (i % 7)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    small = tokenise(df, PATH, 2, encoded=500, known=20 * ENTRY_BYTES)
+    assert small.orderBy("doc_id").collect() == tokenise(df, PATH, 2).orderBy("doc_id").collect()
