@@ -96,16 +96,14 @@ def _windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[dict[tuple[bytes, ...], list[int]]]:
-    """Distinct windows with the items that have them, at most about BLOCK_WINDOWS at a time."""
-    held: dict[tuple[bytes, ...], list[int]] = {}
+def _blocks(items: DataFrame, size: int) -> Iterator[dict[tuple[bytes, ...], dict[int, None]]]:
+    """Distinct windows with the items that have them, in order, at most about BLOCK_WINDOWS at a time."""
+    held: dict[tuple[bytes, ...], dict[int, None]] = {}
     for row in items.select("item_id", "text").toLocalIterator():
         if row["item_id"] is None:
             continue
         for window in _windows(words_of((row["text"] or "").encode()), size):
-            owners = held.setdefault(window, [])
-            if row["item_id"] not in owners:
-                owners.append(row["item_id"])
+            held.setdefault(window, {})[row["item_id"]] = None
             if len(held) >= BLOCK_WINDOWS:
                 yield held
                 held = {}
@@ -208,7 +206,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[new].tolist(), reach[np.r_[new[1:] - 1, len(starts) - 1]].tolist()))
 
 
-def _search_block(index: DataFrame, block: dict[tuple[bytes, ...], list[int]], near: int | None) -> DataFrame:
+def _search_block(index: DataFrame, block: dict[tuple[bytes, ...], dict[int, None]], near: int | None) -> DataFrame:
     numbers = _Numbers()
     width = max(map(len, block))
     windows = np.full((len(block), width), PAD, np.int64)
