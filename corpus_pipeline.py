@@ -18,6 +18,8 @@ from cohortry.llm import decontaminate, jaccard_join, mixing, token_output, toxi
 from cohortry.llm.shared import table, written
 
 END_ID = 2
+#: Workers come here from other stages, so they encode less at once and keep less (bytes).
+ENCODED, KNOWN = 2_000_000, 100_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = token_output.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    path = token_output.write_tokens(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID, encoded=ENCODED, known=KNOWN
+    )
     return token_output.read_tokens(spark, path)
 
 
