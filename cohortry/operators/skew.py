@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 SALTS = 64
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 256_000_000
 HOT_ROWS = 10_000
 
 
@@ -29,14 +31,44 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counting stops beyond that."""
-    return df.limit(rows + 1).count() <= rows
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in memory; 8 for numbers, dates and nulls."""
+    if isinstance(kind, (StringType, BinaryType)):
+        own = F.octet_length(value)
+    elif isinstance(kind, ArrayType):
+        element = kind.elementType
+        if isinstance(element, (StringType, BinaryType, ArrayType, MapType, StructType)):
+            own = F.aggregate(value, F.lit(0).cast("bigint"), lambda held, x: held + value_bytes(x, element))
+        else:
+            own = F.array_size(value) * 8
+    elif isinstance(kind, MapType):
+        own = value_bytes(F.map_keys(value), ArrayType(kind.keyType)) + value_bytes(F.map_values(value), ArrayType(kind.valueType))
+    elif isinstance(kind, StructType):
+        own = reduce(lambda a, b: a + b, [value_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(0))
+    else:
+        return F.lit(8).cast("bigint")
+    return F.coalesce(own, F.lit(0)).cast("bigint") + 8
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a count shows it is small; otherwise leave the choice open."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes in memory."""
+    return value_bytes(F.struct("*"), df.schema)
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of at most ``most`` bytes in all; counting stops beyond ``rows``.
+
+    Only a length per row is gathered, whatever the width of the rows.
+    """
+    found = df.select(row_bytes(df).alias("_bytes")).limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("_bytes"), F.lit(0)).alias("bytes")
+    ).first()
+    return found["rows"] <= rows and found["bytes"] <= most
+
+
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its rows and bytes show it is small; otherwise leave the choice open."""
+    return F.broadcast(df) if is_small(df, rows, most) else df
 
 
 def hot_keys(rows: DataFrame, keys: list[str], shares: int = SALTS, least: int | None = None) -> list[Row]:

@@ -52,3 +52,13 @@ def test_size_checks(spark):
     assert is_small(spark.range(10), 10) and not is_small(spark.range(11), 10)
     hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString()
     assert hinted(broadcast_checked(spark.range(10), 10)) and not hinted(broadcast_checked(spark.range(11), 10))
+
+
+def test_bytes_count_as_well_as_rows(spark):
+    wide = spark.range(10).select("id", F.array_repeat(F.lit(1.0), 1_000).alias("v"), F.repeat(F.lit("x"), 500).alias("t"))
+    assert is_small(wide, 10, 100_000) and not is_small(wide, 10, 80_000)
+    nested = spark.range(2).select(
+        F.array(F.struct(F.lit("abc").alias("a"), F.lit(None).cast("string").alias("b"))).alias("s"),
+        F.create_map(F.lit("k"), F.array(F.lit("v"))).alias("m"), F.lit(None).cast("array<string>").alias("n"), F.lit(1).alias("_bytes"),
+    )
+    assert is_small(nested, 2) and not is_small(nested, 2, 50) and is_small(nested.limit(0), 0, 0)
