@@ -294,12 +294,16 @@ def manual(spark, d):
     return part.select(F.col("p_partkey").alias("id"), F.concat(F.lit("MIXTURE_OR_COMBINATION: "), "p_name").alias("reason"))
 
 
+def overrides(spark, d):
+    """Replaced facts of the largest records, some of which are excluded as well."""
+    return views.facts(spark, d).where("n_heavy_atoms >= 49").withColumns(
+        {"n_heavy_atoms": F.lit(10), "parent_key": F.concat(F.lit("override/"), "parent_key")}
+    )
+
+
 def j3(spark, d):
-    """Manual reasons beside every record, exclusion before replacement."""
-    base = views.facts(spark, d).select("id", "name")
-    reasons = manual(spark, d)
-    joined = base.join(curate.broadcast_checked(reasons), "id", "left")
-    return joined.select("id", F.when(F.col("reason").isNotNull(), text.before(F.col("reason"))).alias("exclusion_code"))
+    """Both manual tables beside every record, exclusion before replacement."""
+    return curate.override_lookup(views.facts(spark, d).select("id"), manual(spark, d), overrides(spark, d), RULES())
 
 
 def curated(spark, d):
@@ -308,10 +312,12 @@ def curated(spark, d):
         "id", "name", "outcome", F.when(F.col("n_heavy_atoms") <= 5, "unresolved").otherwise("resolved").alias("identity_status"),
         F.when(F.col("mol_weight") > 1000, "added").otherwise("original").alias("release"),
     )
-    overrides = facts.where("n_heavy_atoms >= 49").withColumn("n_heavy_atoms", F.lit(10)).withColumn(
-        "parent_key", F.concat(F.lit("override/"), "parent_key")
-    )
-    return curate.curate(records, facts, active_facts(spark, d), manual(spark, d), overrides, TOKEN_LISTS, "IDENTITY_UNRESOLVED", RULES())
+    return curate.curate(records, facts, active_facts(spark, d), manual(spark, d), overrides(spark, d), TOKEN_LISTS, "IDENTITY_UNRESOLVED", RULES())
+
+
+OVERRIDDEN = views.FACTS + f""", override_facts as (select * replace (10 as n_heavy_atoms, 'override/'||parent_key as parent_key)
+  from facts where n_heavy_atoms >= 49), override_ruled as (select *, {CASCADE} as rule from override_facts),
+overridden as (select *, rule = 0 as eligibility, {CODES} as exclusion_code from override_ruled)"""
 
 
 CURATED = DECIDED + ", " + ACTIVE + f""", override_facts as (select * replace (10 as n_heavy_atoms, 'override/'||parent_key as parent_key)
@@ -485,7 +491,13 @@ ENTRIES = {
             "from stripped s left join adjudicated e on e.key = lower(trim(s.name)) "
             "left join adjudicated f on f.key = lower(s.short) and lower(s.short) <> lower(trim(s.name))"),
     "j3_override_lookup": (
-        j3, "select p_partkey as id, case when p_size = 50 then 'MIXTURE_OR_COMBINATION' end as exclusion_code from part"),
+        j3, f"""with {OVERRIDDEN} select f.id, case when f.n_heavy_atoms = 50 then 'exclusion' when o.id is not null then 'override' end as decided_by,
+  case when f.n_heavy_atoms = 50 then false else o.eligibility end as eligibility,
+  case when f.n_heavy_atoms = 50 then 'MIXTURE_OR_COMBINATION' else o.exclusion_code end as exclusion_code,
+  case when f.n_heavy_atoms = 50 then 'MANUAL_REVIEW:MIXTURE_OR_COMBINATION: '||f.name
+    when o.id is not null then 'MANUAL_ACTIVE_MOIETY_OVERRIDE' end as curation_flags,
+  case when f.n_heavy_atoms <> 50 then o.parent_key end as parent_key
+from facts f left join overridden o using (id)"""),
     "j4_adjudicate_equivalent": (
         j4, f"with {DECIDED}, {ACTIVE} select id, eligibility, exclusion_code, curation_flags, parent_key, used_active from matched"),
     "c1_rule_cascade": (c1, f"with {DECIDED} select id, eligibility, exclusion_code, curation_flags from decided"),

@@ -110,6 +110,54 @@ def overlay(original: DataFrame, decisions: DataFrame, id: str = "id") -> DataFr
     )
 
 
+def _with_manual(records: DataFrame, exclusions: DataFrame, overrides: DataFrame, id: str) -> DataFrame:
+    """Records beside their manual reason (``_reason``) and the decision of their override (``_o_...``).
+
+    Manual tables are kept by hand, but their size is still checked before a broadcast.
+    """
+    manual = overrides.select(
+        id, F.col("eligibility").alias("_o_eligibility"), F.col("exclusion_code").alias("_o_code"),
+        F.col("parent_key").alias("_o_key"), F.lit(True).alias("_override"),
+    )
+    reasons = broadcast_checked(exclusions.select(id, F.col("reason").alias("_reason")), BROADCAST_ROWS)
+    return join_on(join_on(records, reasons, [id], "left"), broadcast_checked(manual, BROADCAST_ROWS), [id], "left")
+
+
+def _excluded() -> Column:
+    return F.coalesce(F.col("_reason") != "", F.lit(False))
+
+
+def _overridden() -> Column:
+    return F.coalesce(F.col("_override"), F.lit(False))
+
+
+def override_lookup(
+    records: DataFrame, exclusions: DataFrame, overrides: DataFrame, rules: list[Rule] | None = None, id: str = "id"
+) -> DataFrame:
+    """What the two manual tables say about every record: exclusion before replacement.
+
+    ``exclusions`` is (id, reason), ``overrides`` structure facts per id, decided by the rule
+    cascade. ``decided_by`` is ``exclusion``, ``override`` or NULL, where all else is NULL too.
+    An empty or NULL reason excludes nothing; a repeated id raises ``ContractError``.
+    """
+    for table, what in ((exclusions, "exclusions"), (overrides, "overrides")):
+        enforce(key_violations(table, [id]).where("problem = 'duplicate'"), f"ids repeat in {what}")
+    decided = rule_cascade(overrides, rules or structure_rules(), salt_flag())
+    excluded, override = _excluded(), _overridden()
+
+    def choose(if_excluded: Column, if_override: Column) -> Column:
+        return F.when(excluded, if_excluded).when(override, if_override)
+
+    return _with_manual(records, exclusions, decided, id).select(
+        *records.columns,
+        choose(F.lit("exclusion"), F.lit("override")).alias("decided_by"),
+        choose(F.lit(False), F.col("_o_eligibility")).alias("eligibility"),
+        choose(before(F.col("_reason")), F.col("_o_code")).alias("exclusion_code"),
+        choose(F.concat(F.lit(fixed.FLAG_MANUAL), F.col("_reason")), F.lit(fixed.FLAG_OVERRIDE)).alias("curation_flags"),
+        choose(F.lit(None).cast("string"), F.col("_o_key")).alias("parent_key"),
+    )
+
+
 def curate(
     records: DataFrame,
     facts: DataFrame,
@@ -138,16 +186,9 @@ def curate(
         return rule_cascade(source, rules, salt_flag()).select(id, *DECISION, "parent_key")
 
     matched = adjudicate_equivalent(decided(facts), decided(active_facts), id)
-    manual = decided(overrides).select(
-        id, F.col("eligibility").alias("_o_eligibility"), F.col("exclusion_code").alias("_o_code"),
-        F.col("parent_key").alias("_o_key"), F.lit(True).alias("_override"),
-    )
-    # manual tables are kept by hand, but their size is still checked before a broadcast
-    reasons = broadcast_checked(exclusions.select(id, F.col("reason").alias("_reason")), BROADCAST_ROWS)
-    joined = join_on(join_on(records, reasons, [id], "left"), broadcast_checked(manual, BROADCAST_ROWS), [id], "left")
+    joined = _with_manual(records, exclusions, decided(overrides), id)
     joined = join_on(joined, matched.withColumn("_matched", F.lit(True)), [id], "left")
-    excluded = F.coalesce(F.col("_reason") != "", F.lit(False))
-    override = F.coalesce(F.col("_override"), F.lit(False))
+    excluded, override = _excluded(), _overridden()
     unresolved = ~F.col(status).eqNullSafe(F.lit("resolved"))
     absent = F.col("_matched").isNull()
 

@@ -311,3 +311,15 @@ def test_repeated_manual_rows_are_errors(spark):
     facts = spark.createDataFrame([], "id int")
     with pytest.raises(ContractError, match="exclusions"):
         curate.curate(records, facts, facts, reasons, facts)
+
+
+def test_exclusion_comes_before_replacement(spark):
+    records = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "id int")
+    reasons = spark.createDataFrame([(1, "X: y"), (2, "X: z"), (3, ""), (9, "not a record")], "id int, reason string")
+    facts = spark.createDataFrame([fact(2), fact(3, has_metal=True, n_organic_fragments=2)], FACTS)
+    got = {r["id"]: (r["decided_by"], r["eligibility"], r["exclusion_code"]) for r in curate.override_lookup(records, reasons, facts).collect()}
+    assert got[1] == got[2] == ("exclusion", False, "X")
+    assert got[3][:2] == ("override", False) and got[3][2]
+    assert got[4] == got[None] == (None, None, None)
+    with pytest.raises(ContractError, match="overrides"):
+        curate.override_lookup(records, reasons, facts.union(facts))
