@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry import views
@@ -89,8 +92,20 @@ def v4(spark, d):
 
 def v5(spark, d):
     first, second = runs(spark, d)
-    repeat = hash_sample(first.withColumn("vec", F.transform("vec", lambda x: x + 1e-7)), 0.05, 78123)
-    return rounded(vectors.coverage_report(first.select("id"), first, repeat), 9)
+    requested = first.select("id")
+
+    def sample(run):
+        return hash_sample(run, 0.05, 78123)
+
+    near = sample(first).withColumn("vec", F.transform("vec", lambda x: x + 1e-7))
+    cases = {
+        "whole": (first, near),
+        "rows_lost": (first.where("id % 50 <> 7"), near),
+        "drifted": (first, sample(first).withColumn("vec", F.transform("vec", lambda x: x + F.col("id") * 1e-5))),
+        "sample_too_large": (first, hash_sample(first, 0.1, 78123)),
+    }
+    reports = [vectors.coverage_report(requested, *runs_of).withColumn("case", F.lit(name)) for name, runs_of in cases.items()]
+    return rounded(reduce(DataFrame.unionByName, reports), 9)
 
 
 def a13(spark, d):
@@ -229,9 +244,23 @@ ENTRIES = {
             "round(1e-7, 9) as max_abs_diff, 'same_order' as comparison, count(*) >= 18 as passed from first_run union all "
             "select true, count(*), true, max(step) <= 1e-5, round(max(step), 9), 'reordered', max(step) <= 1e-5 from stepped"),
     "v5_coverage": (
-        v5, f"with {RUNS} select count(*) as requested, count(*) as successful, 0::bigint as differing_ids, 1.0::double as coverage, "
-            "greatest(1, ceil(count(*) * 0.05))::bigint as repeat_rows, true as within_tolerance, round(1e-7, 9) as max_abs_diff, "
-            "true as passed from first_run"),
+        v5, f"""with {RUNS}, size as (select count(*) as requested, greatest(1, ceil(count(*) * 0.05::double))::bigint as asked,
+  greatest(1, ceil(count(*) * 0.1::double))::bigint as large from first_run),
+placed as (select *, row_number() over (order by {h('78123', 'id')}, id) as n from first_run),
+repeats as (select "case", id, case when "case" = 'drifted' then [x + id * 1e-5::double for x in vec]
+    when "case" = 'sample_too_large' then vec else [x + 1e-7::double for x in vec] end as again
+  from placed cross join size cross join (values ('whole'), ('rows_lost'), ('drifted'), ('sample_too_large')) c("case")
+  where n <= case when "case" = 'sample_too_large' then large else asked end),
+pairs as (select r."case", again, case when r."case" <> 'rows_lost' or id % 50 <> 7 then vec end as vec
+  from repeats r join first_run using (id)),
+agreed as (select "case", count(*) as repeat_rows,
+    bool_and(vec is not null and list_bool_and([abs(again[i] - vec[i]) <= 1e-5 + 1e-5 * abs(vec[i]) for i in range(1, 65)])) as within_tolerance,
+    max(list_max([abs(again[i] - vec[i]) for i in range(1, 65)])) as max_abs_diff from pairs group by "case"),
+lost as (select count_if(id % 50 = 7)::bigint as lost from first_run),
+judged as (select *, case when "case" = 'rows_lost' then lost else 0 end as differing_ids from agreed cross join size cross join lost)
+select "case", requested, requested - differing_ids as successful, differing_ids, round((requested - differing_ids) / requested::double, 9) as coverage,
+  repeat_rows, within_tolerance, round(max_abs_diff, 9) as max_abs_diff,
+  differing_ids = 0 and within_tolerance and repeat_rows = asked as passed from judged"""),
     "a13_vector_summary": (
         a13, f"with {SPOILED} select max(len(vec))::integer as dimension, min(len(vec)) = max(len(vec)) as one_dimension, "
              "round(min(norm), 6) as norm_min, round(max(norm), 6) as norm_max, min(len(vec))::integer as token_count_min, "

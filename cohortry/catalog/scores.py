@@ -70,16 +70,13 @@ RATES_SQL = """
 AP_SQL = """
   select model, repeat, sum(pos * (tp / (tp + fp)::double)) / max(n1) as pr_auroc from steps group by model, repeat"""
 
-QUARTET = STEPS_SQL + """, ranked as (
+SEVEN = STEPS_SQL + """, ranked as (
   select *, rank() over (partition by model, repeat order by probability)
     + (count(*) over (partition by model, repeat, probability) - 1) / 2.0 as rk
   from predictions), aurocs as (
   select model, repeat, (sum(rk) filter (outcome = 1) - count_if(outcome = 1) * (count_if(outcome = 1) + 1) / 2.0)
     / (count_if(outcome = 1)::double * count_if(outcome = 0)) as auroc
-  from ranked group by model, repeat), aps as (""" + AP_SQL + "), rates as (" + RATES_SQL + """),
-bundle as (select * from aurocs join aps using (model, repeat) join rates using (model, repeat)),
-long as (unpivot bundle on auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy
-  into name metric value value)"""
+  from ranked group by model, repeat), aps as (""" + AP_SQL + "), rates as (" + RATES_SQL + ")"
 
 
 NEWTON = 20
@@ -106,7 +103,7 @@ def newton_sql(steps: int = NEWTON) -> str:
     return ", ".join(ctes)
 
 
-NINE = QUARTET.split("bundle as (")[0] + newton_sql() + """,
+NINE = SEVEN + ", " + newton_sql() + """,
 bundle as (select aurocs.*, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy,
     a as calibration_intercept, b as calibration_slope
   from aurocs join aps using (model, repeat) join rates using (model, repeat) join """ + f"n{NEWTON}" + """ using (model, repeat)),
@@ -227,23 +224,17 @@ def p17(spark, d):
     )
 
 
-def seven(spark, d):
-    """The ranking and threshold metrics per model and repeat."""
-    base = views.predictions(spark, d)
-    ranked = metrics.ranking_metrics(base, KEYS, Y, P)
-    rates = metrics.confusion_exprs(Y, F.col(P) >= F.col("youden_threshold"))
-    plain = base.groupBy(*KEYS).agg(
-        metrics.brier_expr(Y, P).alias("brier"), *[v.alias(n) for n, v in rates.items()]
-    )
-    return ranked.join(plain, KEYS)
+def repeat_metrics(spark, d):
+    """All nine metrics per model and repeat."""
+    return estimate.repeat_metrics(views.predictions(spark, d))
 
 
 def e1(spark, d):
-    return rounded(estimate.model_performance(seven(spark, d)))
+    return rounded(estimate.model_performance(repeat_metrics(spark, d)))
 
 
 def a5(spark, d):
-    return rounded(estimate.repeat_uncertainty(seven(spark, d)))
+    return rounded(estimate.repeat_uncertainty(repeat_metrics(spark, d)))
 
 
 def a6(spark, d):
@@ -317,9 +308,8 @@ def whole(query):
     return partial(query, resamples=WHOLE)
 
 
-METRIC_LIST = "auroc, pr_auroc, brier, sensitivity, specificity, precision, balanced_accuracy"
 ROUNDED = ", ".join(f"round({m}, 6) as {m}" for m in metrics.BUNDLE)
-MEANS = ", ".join(f"round(avg({m}), 6) as {m}" for m in METRIC_LIST.split(", "))
+MEANS = ", ".join(f"round(avg({m}), 6) as {m}" for m in metrics.BUNDLE)
 
 #: What follows the ``predictions`` and ``draws`` CTEs: the one row of an estimate.
 VERDICT_SQL = (
@@ -392,9 +382,9 @@ select model, round(a, 5) as calibration_intercept, round(b, 5) as calibration_s
     "p17_threshold_flag": (
         p17, f"with {views.PREDICTIONS} select id, model, repeat, (probability >= youden_threshold)::integer as predicted "
              "from predictions"),
-    "e1_model_performance": (e1, f"with {QUARTET} select model, {MEANS} from bundle group by model"),
+    "e1_model_performance": (e1, f"with {NINE} select model, {MEANS} from bundle group by model"),
     "a5_repeat_uncertainty": (
-        a5, f"with {QUARTET} select model, metric, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as repeat_sd, "
+        a5, f"with {NINE} select model, metric, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as repeat_sd, "
             "round(min(value), 6) as repeat_min, round(max(value), 6) as repeat_max from long group by model, metric"),
     "a6_pivot_by_repeat": (
         a6, f"""with {AUROC_SQL} select repeat, round(max(auroc) filter (model = 'B'), 6) as "B",
